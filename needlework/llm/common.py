@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` leaves it out.
@@ -50,6 +50,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, nulls marked."""
+    values = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*values, *[v.isNull() for v in values])
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node that links reach.
 

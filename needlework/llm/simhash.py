@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from needlework.llm.common import connected_components, only, stage
+from needlework.llm.common import connected_components, only, row_hash, stage
 
 SEED = 42
 #: Shingles whose bits are counted together.
@@ -54,16 +54,16 @@ def fingerprint(text: str | None, words_each: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", words_each: int = 4) -> DataFrame:
-    """(key, fp): fp is the fingerprint's 64 bits as a long."""
-    rows = only(docs, **{key: "long", "text": "string"})
+def fingerprints(docs: DataFrame, key: str = "doc_id", words_each: int = 4, *also: str) -> DataFrame:
+    """(key, fp): fp is the fingerprint's 64 bits as a long; further long columns ride along."""
+    rows = only(docs, **{key: "long", "text": "string"} | dict.fromkeys(also, "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), words_each) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], names=[key, "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=[key, "fp", *also])
 
-    return rows.mapInArrow(run, f"{key} long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (key, "fp", *also)))
 
 
 def _segments(tau: int) -> list[tuple[int, int]]:
@@ -200,3 +200,19 @@ def near_duplicates(docs: DataFrame, tau: int = 4, words_each: int = 4, key: str
     prints = stage(fingerprints(docs, key, words_each), "simhash-prints")
     found = components(prints, tau, key)
     return found.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep(docs: DataFrame, key: str = "doc_id", tau: int = 4, words_each: int = 4) -> DataFrame:
+    """The documents, all their columns, one of each group: the smallest key (a null key last), then the least row hash."""
+    columns = docs.columns
+    rows = docs.withColumn("__hash", row_hash(docs))
+    prints = stage(fingerprints(rows, key, words_each, "__hash"), "simhash-prints")
+    grouped = components(prints.select("fp").distinct().select(F.col("fp").alias("row"), "fp"), tau, "row").select("fp", F.col("component_id").alias("group"))
+    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__hash").alias("h"))
+    firsts = prints.join(grouped, "fp").groupBy("group").agg(F.min(order).alias("first")).select("first.k", "first.h").distinct()
+    alike = prints.groupBy(F.col(key).alias("k"), F.col("__hash").alias("h")).agg(F.count("*").alias("__alike"))
+    firsts = stage(firsts.join(alike, firsts["k"].eqNullSafe(alike["k"]) & (firsts["h"] == alike["h"])).select(firsts["k"], firsts["h"], "__alike"), "simhash-firsts")
+    met = rows.join(firsts, F.col(key).cast("long").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")))
+    nth = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(1)))  # rows alike in every column
+    again = met.where("__alike > 1").withColumn("__nth", nth).where("__nth = 1")
+    return met.where("__alike = 1").select(*columns).union(again.select(*columns))
