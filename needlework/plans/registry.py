@@ -1,6 +1,358 @@
-def queries():
-    return {}
+"""The queries of the search engine over the driver's tables, each with its SQL where SQL can say it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from needlework.functions import search
+from needlework.operators import batch, chunking, listing, profile, repeats, store
+
+Query = Callable[[SparkSession, str], DataFrame]
+NEEDLES = ("the", "tion", "zzz", "aa", "é")
+LISTED = ("the", "idiot", "", "zzz", "the", "é")
+SQL_NEEDLES = "(VALUES ('the'),('tion'),('zzz'),('aa'),('é')) n(needle)"
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _hays(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).cast("long").alias("hay_id"), F.col(text).alias("text"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of four letters or more in the benchmark."""
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("needle"))
+    return rows.where(F.length("needle") >= 4).distinct()
+
+
+def _crossed(hays: DataFrame, needles: tuple[str, ...] = NEEDLES) -> DataFrame:
+    """Each haystack once for every stated needle."""
+    return hays.withColumn("needle", F.explode(F.array(*map(F.lit, needles))))
+
+
+WORDS = "(SELECT DISTINCT w AS needle FROM (SELECT unnest(regexp_split_to_array(text,'[^a-zA-Z]+')) AS w FROM benchmark) WHERE length(w) >= 4)"
+CROSSED = f"documents CROSS JOIN {SQL_NEEDLES}"
+GRAMS = """(SELECT doc_id AS hay_id, i, c || coalesce(lead(c) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') AS g
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS c, unnest(range(0, length(text))) AS i FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+STARTS = f"(SELECT hay_id, needle, i FROM {GRAMS} g JOIN {SQL_NEEDLES} ON starts_with(g, needle))"
+
+
+# single needles
+
+
+@query(f"SELECT doc_id AS hay_id, needle, CAST(instr(text, needle) - 1 AS BIGINT) AS off FROM {CROSSED}")
+def find_first(spark, sf_dir):
+    return _crossed(_hays(spark, sf_dir)).select("hay_id", "needle", search.find("text", F.col("needle")).alias("off"))
+
+
+@query(f"SELECT doc_id AS hay_id, needle, CAST(CASE WHEN instr(text, needle) = 0 THEN -1 ELSE strlen(substr(text, 1, instr(text, needle) - 1)) END AS BIGINT) AS off FROM {CROSSED}")
+def find_first_bytes(spark, sf_dir):
+    return _crossed(_hays(spark, sf_dir)).select("hay_id", "needle", search.find_bytes("text", F.col("needle")).alias("off"))
+
+
+@query(f"SELECT doc_id AS hay_id, needle, CAST(CASE WHEN instr(text, needle) = 0 THEN -1 ELSE strlen(substr(text, 1, instr(text, needle) - 1)) END AS BIGINT) AS off FROM {CROSSED}")
+def find_first_binary(spark, sf_dir):
+    """The same over BINARY: a character stands for a byte."""
+    rows = _crossed(_hays(spark, sf_dir))
+    hay, needle = (search.latin(F.encode(c, "UTF-8")) for c in ("text", "needle"))
+    return rows.select("hay_id", "needle", search.find(hay, needle).alias("off"))
+
+
+@query("SELECT doc_id AS hay_id, CAST(instr(text, '') - 1 AS BIGINT) AS off, CAST(0 AS BIGINT) AS n, contains(text, '') AS has FROM documents")
+def empty_needle(spark, sf_dir):
+    return _hays(spark, sf_dir).select("hay_id", search.find("text", "").alias("off"), search.count("text", "").alias("n"), search.has("text", "").alias("has"))
+
+
+@query(f"SELECT doc_id AS hay_id, needle, CAST((length(text) - length(replace(text, needle, ''))) // length(needle) AS BIGINT) AS n FROM {CROSSED}")
+def count_nonoverlap(spark, sf_dir):
+    return _crossed(_hays(spark, sf_dir)).select("hay_id", "needle", search.count("text", F.col("needle")).alias("n"))
+
+
+@query(f"SELECT doc_id AS hay_id, n.needle, count(i) AS n FROM {CROSSED} LEFT JOIN {STARTS} s ON s.hay_id = doc_id AND s.needle = n.needle GROUP BY doc_id, n.needle")
+def count_overlap(spark, sf_dir):
+    return _crossed(_hays(spark, sf_dir)).select("hay_id", "needle", search.count("text", F.col("needle"), True).alias("n"))
+
+
+_SPLIT = f"""SELECT hay_id, needle, CAST(sum(length(part)) OVER (PARTITION BY hay_id, needle ORDER BY pos ROWS UNBOUNDED PRECEDING) + pos * length(needle) AS BIGINT) AS off
+FROM (SELECT hay_id, needle, part, pos, max(pos) OVER (PARTITION BY hay_id, needle) AS last FROM (
+  SELECT doc_id AS hay_id, needle, unnest(string_split(text, needle)) AS part, unnest(range(0, len(string_split(text, needle)))) AS pos FROM {CROSSED}))
+WHERE pos < last"""
+
+
+@query(_SPLIT)
+def find_all_nonoverlap(spark, sf_dir):
+    return listing.find_all_rows(_hays(spark, sf_dir), list(NEEDLES))
+
+
+@query(f"SELECT hay_id, needle, off FROM ({_SPLIT}) QUALIFY row_number() OVER (PARTITION BY hay_id, needle ORDER BY off) <= 3")
+def find_all_capped(spark, sf_dir):
+    """At most three occurrences of each needle in a text: the cap is the operator's own parameter."""
+    return listing.find_all_rows(_hays(spark, sf_dir), list(NEEDLES), cap=3)
+
+
+@query(f"SELECT hay_id, needle, i AS off FROM {STARTS}")
+def find_all_overlap(spark, sf_dir):
+    return listing.find_all_rows(_hays(spark, sf_dir), list(NEEDLES), overlap=True)
+
+
+@query("SELECT conv_id, turn, CAST(len(string_split(text, 'the')) - 1 AS BIGINT) AS n, CAST(instr(text, 'the') - 1 AS BIGINT) AS first FROM conversations")
+def find_all_arrays(spark, sf_dir):
+    """Lists of offsets as arrays, of short texts."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = search.find_all("text", "the")
+    return rows.select("conv_id", "turn", F.size(found).cast("long").alias("n"), F.when(F.size(found) > 0, found[0]).otherwise(-1).cast("long").alias("first"))
+
+
+@query("SELECT doc_id AS hay_id, CAST(CASE WHEN length(text) >= 64 THEN 1 ELSE 0 END AS INTEGER) AS use_find, CAST(1 AS INTEGER) AS use_batch FROM documents")
+def should_use(spark, sf_dir):
+    return _hays(spark, sf_dir).select("hay_id", search.should_use(F.length("text"), "find").alias("use_find"), search.should_use(F.length("text"), "has").alias("use_batch"))
+
+
+# many needles
+
+
+_FREQUENCY = f"SELECT needle, count(*) AS docs FROM documents JOIN {WORDS} ON contains(text, needle) GROUP BY needle"
+
+
+@query(_FREQUENCY)
+def has_batch_frequency(spark, sf_dir):
+    """In how many documents each benchmark word occurs."""
+    return batch.has_pairs(_hays(spark, sf_dir), _words(spark, sf_dir)).groupBy("needle").agg(F.count("*").alias("docs"))
+
+
+@query(f"SELECT doc_id AS hay_id, needle FROM documents JOIN {WORDS} ON contains(text, needle)")
+def has_batch_pairs(spark, sf_dir):
+    return batch.has_pairs(_hays(spark, sf_dir), _words(spark, sf_dir))
+
+
+@query(f"SELECT doc_id AS hay_id, needle FROM {CROSSED} WHERE contains(text, needle)")
+def has_batch_join(spark, sf_dir):
+    needles = spark.createDataFrame([(n,) for n in NEEDLES], "needle string")
+    return batch.has_pairs(_hays(spark, sf_dir), needles, "join")
+
+
+@query("SELECT doc_id AS hay_id, " + ", ".join(f"contains(text, '{n}') AS b{i}" for i, n in enumerate(LISTED)) + " FROM documents")
+def has_bits(spark, sf_dir):
+    bits = batch.has_bits(_hays(spark, sf_dir), list(LISTED))
+    return bits.select("hay_id", *[F.col("bits")[i].alias(f"b{i}") for i in range(len(LISTED))])
+
+
+@query(f"SELECT needle FROM {WORDS} w WHERE EXISTS (SELECT 1 FROM documents WHERE contains(text, needle))")
+def has_semi(spark, sf_dir):
+    return batch.has_semi(_hays(spark, sf_dir), _words(spark, sf_dir))
+
+
+@query(f"SELECT doc_id AS hay_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM {SQL_NEEDLES} WHERE contains(text, needle))")
+def has_anti(spark, sf_dir):
+    needles = spark.createDataFrame([(n,) for n in NEEDLES], "needle string")
+    return batch.has_anti(_hays(spark, sf_dir), needles)
+
+
+@query(f"SELECT doc_id AS hay_id, needle, CAST((length(text) - length(replace(text, needle, ''))) // length(needle) AS BIGINT) AS n FROM documents JOIN {WORDS} ON contains(text, needle)")
+def count_batch(spark, sf_dir):
+    return batch.count_pairs(_hays(spark, sf_dir), _words(spark, sf_dir))
+
+
+@query(f"SELECT hay_id, needle, count(*) AS n FROM {STARTS} GROUP BY hay_id, needle")
+def count_batch_overlap(spark, sf_dir):
+    needles = spark.createDataFrame([(n,) for n in NEEDLES], "needle string")
+    return batch.count_pairs(_hays(spark, sf_dir), needles, True, "scan")
+
+
+@query("SELECT doc_id AS hay_id, " + ", ".join(f"CAST((length(text) - length(replace(text, '{n}', ''))) // {len(n)} AS BIGINT) AS c{i}" if n else f"CAST(0 AS BIGINT) AS c{i}" for i, n in enumerate(LISTED)) + " FROM documents")
+def count_list(spark, sf_dir):
+    counts = batch.count_list(_hays(spark, sf_dir), list(LISTED))
+    return counts.select("hay_id", *[F.col("counts")[i].alias(f"c{i}") for i in range(len(LISTED))])
+
+
+@query("SELECT p_partkey AS hay_id, needle FROM part CROSS JOIN (VALUES ('a'),('1'),('Part'),('#')) n(needle) WHERE contains(p_name, needle)")
+def has_batch_short_texts(spark, sf_dir):
+    needles = spark.createDataFrame([("a",), ("1",), ("Part",), ("#",)], "needle string")
+    return batch.has_pairs(_hays(spark, sf_dir, "part", "p_partkey", "p_name"), needles)
+
+
+# profiles
+
+
+_BYTES = "(SELECT doc_id AS hay_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents)"
+_HISTOGRAM = "(SELECT doc_id AS hay_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 262144), '..')) AS byte FROM documents)"
+_ENTROPY = f"""SELECT doc_id AS hay_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN n > 0 THEN abs(round(log2(n) - s / n, 6)) ELSE 0.0::DOUBLE END AS entropy
+FROM documents LEFT JOIN (SELECT hay_id, sum(c) AS n, sum(c * log2(c)) AS s FROM (SELECT hay_id, byte, count(*) AS c FROM {_HISTOGRAM} GROUP BY ALL) GROUP BY hay_id) ON hay_id = doc_id"""
+
+
+@query(f"SELECT hay_id, string_agg(DISTINCT byte, ' ' ORDER BY byte) AS bytes FROM {_BYTES} GROUP BY hay_id")
+def profile_presence(spark, sf_dir):
+    return profile.presence(_hays(spark, sf_dir)).where(F.size("bytes") > 0).select("hay_id", F.array_join("bytes", " ").alias("bytes"))
+
+
+@query(f"SELECT hay_id, byte, count(*) AS n FROM {_HISTOGRAM} GROUP BY ALL")
+def profile_histogram(spark, sf_dir):
+    return profile.histogram(_hays(spark, sf_dir))
+
+
+@query(_ENTROPY)
+def profile_entropy(spark, sf_dir):
+    return profile.entropy(_hays(spark, sf_dir))
+
+
+@query(f"SELECT hay_id, CASE WHEN entropy <= 3.5 THEN 'high' WHEN entropy <= 5.5 THEN 'mixed' ELSE 'low' END AS label FROM ({_ENTROPY})")
+def profile_label(spark, sf_dir):
+    return profile.label(_hays(spark, sf_dir))
+
+
+@query("SELECT doc_id AS hay_id, len(list_filter(['C3','A9','7A'], lambda b: NOT list_contains(regexp_extract_all(hex(encode(text)), '..'), b))) = 0 AS may FROM documents")
+def may_contain(spark, sf_dir):
+    return profile.may_contain(_hays(spark, sf_dir), "éz")
+
+
+_BLOCKS = "(SELECT page_id AS hay_id, unnest(range(0, (greatest(length(h), 2) - 2) // 16384 + 1)) AS block, h FROM (SELECT page_id, hex(encode(html)) AS h FROM pages))"
+
+
+@query(f"""SELECT hay_id, CAST(block AS INTEGER) AS block, CASE WHEN e <= 3.5 THEN 'high' WHEN e <= 5.5 THEN 'mixed' ELSE 'low' END AS label FROM (
+  SELECT hay_id, block, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS e FROM (
+    SELECT hay_id, block, byte, count(*) AS c FROM (SELECT hay_id, block, unnest(regexp_extract_all(substr(h, block * 16384 + 1, 8192), '..')) AS byte FROM {_BLOCKS}) GROUP BY ALL)
+  GROUP BY hay_id, block)""")
+def block_entropy_label(spark, sf_dir):
+    return profile.block_labels(_hays(spark, sf_dir, "pages", "page_id", "html"))
+
+
+@query(f"SELECT hay_id, CAST(block AS INTEGER) AS block FROM {_BLOCKS} WHERE contains(substr(h, block * 16384 + 1, 16384 + 2 * 8), hex(encode('</article'))) AND regexp_matches(substr(h, block * 16384 + 1, 16384 + 16), '^(..)*' || hex(encode('</article')))")
+def candidate_blocks(spark, sf_dir):
+    return profile.candidate_blocks(_hays(spark, sf_dir, "pages", "page_id", "html"), "</article")
+
+
+# store
+
+
+@query("SELECT min(doc_id) AS handle, text, count(*) AS refs FROM documents GROUP BY text")
+def intern_dedup(spark, sf_dir):
+    return store.intern(_hays(spark, sf_dir))
+
+
+@query("""SELECT handle, text, refs - coalesce(gone, 0) AS refs FROM (SELECT min(doc_id) AS handle, text, count(*) AS refs FROM documents GROUP BY text)
+LEFT JOIN (SELECT doc_id, count(*) AS gone FROM labels WHERE quality = 0 GROUP BY doc_id) ON doc_id = handle WHERE refs > coalesce(gone, 0)""")
+def release(spark, sf_dir):
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select(F.col("doc_id").alias("handle"))
+    return store.release(store.intern(_hays(spark, sf_dir)), gone)
+
+
+@query("SELECT doc_id AS hay_id, CAST(instr(text, 'tion') - 1 AS BIGINT) AS off FROM documents")
+def memo_find(spark, sf_dir):
+    return store.memo_find(_hays(spark, sf_dir), "tion")
+
+
+@query("SELECT doc_id AS hay_id, CAST((length(text) - length(replace(text, 'tion', ''))) // 4 AS BIGINT) AS n FROM documents")
+def memo_count(spark, sf_dir):
+    return store.memo_count(_hays(spark, sf_dir), "tion")
+
+
+@query("SELECT doc_id AS hay_id, contains(text, 'idiot') AS b0, contains(text, 'tion') AS b1 FROM documents")
+def memo_has_batch(spark, sf_dir):
+    return store.memo(_hays(spark, sf_dir), b0=search.has("text", "idiot"), b1=search.has("text", "tion"))
+
+
+@query("SELECT count(*) AS objects, CAST(sum(refs) AS BIGINT) AS refs, CAST(sum(refs * b) AS BIGINT) AS raw_bytes, CAST(sum(b) AS BIGINT) AS resident_bytes FROM (SELECT text, strlen(text) AS b, count(*) AS refs FROM conversations GROUP BY text)")
+def store_stats(spark, sf_dir):
+    return store.stats(_hays(spark, sf_dir, "conversations", "conv_id"))
+
+
+@query("SELECT doc_id AS hay_id, substr(hex(encode(text)), 201, 200) AS bytes FROM documents")
+def read_range(spark, sf_dir):
+    return store.read_range(_hays(spark, sf_dir), 100, 100).select("hay_id", F.hex("bytes").alias("bytes"))
+
+
+# repeats
+
+
+_WINDOWS = "(SELECT doc_id AS hay_id, text, substr(text, i + 1, 16) AS sub FROM (SELECT doc_id, text, unnest(range(0, length(text) - 15, 16)) AS i FROM documents WHERE length(text) >= 16))"
+
+
+@query(f"SELECT sub, count(*) AS n, count(DISTINCT hay_id) AS hays FROM {_WINDOWS} GROUP BY sub HAVING count(*) >= 2")
+def repeats_corpus(spark, sf_dir):
+    return repeats.corpus_windows(_hays(spark, sf_dir))
+
+
+@query(f"SELECT hay_id, sub, count(*) AS n FROM {_WINDOWS} GROUP BY hay_id, sub HAVING count(*) >= 2")
+def repeats_per_document(spark, sf_dir):
+    return repeats.hay_windows(_hays(spark, sf_dir))
+
+
+@query(f"""SELECT hay_id, sub, CAST(16 AS BIGINT) AS len, n, 16 + t - n * 10 AS est_lin, row_number() OVER (PARTITION BY hay_id ORDER BY 16 + t - n * 10, n DESC, sub) AS place
+FROM (SELECT hay_id, sub, length(any_value(text)) AS t, CAST((length(any_value(text)) - length(replace(any_value(text), sub, ''))) // 16 AS BIGINT) AS n FROM {_WINDOWS} GROUP BY hay_id, sub HAVING count(*) >= 2)
+WHERE n >= 2 QUALIFY place <= 8""")
+def repeats_scored(spark, sf_dir):
+    return repeats.scored(_hays(spark, sf_dir))
+
+
+@query("SELECT sub, count(*) AS n FROM (SELECT substr(text, i + 1, 3) AS sub FROM (SELECT text, unnest(range(0, length(text) - 2, 8)) AS i FROM documents WHERE length(text) >= 3)) WHERE sub NOT IN ('   ', chr(10) || chr(10) || chr(10)) GROUP BY sub HAVING count(*) BETWEEN 2 AND 64")
+def rare_grams(spark, sf_dir):
+    return repeats.rare_grams(_hays(spark, sf_dir))
+
+
+@query("""SELECT chunk, count(*) AS n, count(DISTINCT hay_id) AS hays FROM (SELECT hay_id, substr(h, i * 512 + 1, 512) AS chunk FROM (
+  SELECT doc_id AS hay_id, hex(encode(text)) AS h, unnest(range(0, strlen(text) // 256)) AS i FROM documents)) GROUP BY chunk HAVING count(*) > 1""")
+def fixed_twins(spark, sf_dir):
+    return chunking.twins(chunking.fixed_chunks(_hays(spark, sf_dir), 256)).select(F.hex("chunk").alias("chunk"), "n", "hays")
+
+
+@query()
+def suffix_repeats(spark, sf_dir):
+    """The longest repeated substring of every document: suffix order, tested against brute force."""
+    return repeats.longest(_hays(spark, sf_dir))
+
+
+@query()
+def repeats_budgeted(spark, sf_dir):
+    """Ranked repeats of single documents; which are found is the search's choice, tested by invariants."""
+    return repeats.repeats(_hays(spark, sf_dir))
+
+
+# chunks
+
+
+@query()
+def cdc_chunks(spark, sf_dir):
+    return chunking.chunks(_hays(spark, sf_dir, "pages", "page_id", "html"))
+
+
+@query()
+def cdc_twins(spark, sf_dir):
+    return chunking.twins(chunking.chunks(_hays(spark, sf_dir)))
+
+
+@query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes FROM documents")
+def chunk_raw_bytes(spark, sf_dir):
+    return chunking.dedup_stats(chunking.chunks(_hays(spark, sf_dir))).select("raw_bytes")
+
+
+@query("SELECT doc_id AS hay_id, md5(text) AS digest FROM documents WHERE text <> ''")
+def chunk_assembly(spark, sf_dir):
+    """Documents put together again from their chunks."""
+    return chunking.assemble(chunking.chunks(_hays(spark, sf_dir))).select("hay_id", F.md5("bytes").alias("digest"))
+
+
+@query("SELECT doc_id AS hay_id, substr(hex(encode(text)), 3001, 400) AS bytes FROM documents WHERE strlen(text) > 1500")
+def chunk_range(spark, sf_dir):
+    return chunking.read_chunks(chunking.chunks(_hays(spark, sf_dir)), 1500, 200).select("hay_id", F.hex("bytes").alias("bytes"))
