@@ -29,31 +29,44 @@ def cut(text: str) -> tuple[str, list[str]]:
     return text[: at[0]], [text[a + 1 : b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
 
 
+class _Known(dict):
+    """Values by piece; a piece not met before stands for itself, and is noted, until it has one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> str:
+        self.new.add(piece)
+        return piece
+
+
 class Table:
-    """Pieces looked up in a bounded table; ``encode`` turns a list of strings into their values."""
+    """Pieces looked up in a bounded table; ``encode`` turns a list of strings into their values (no strings)."""
 
     def __init__(self, encode: Callable[[list[str]], list], most: int):
         self.encode, self.most = encode, most
-        self.spaced: dict[str, object] = {}
-        self.heads: dict[str, object] = {}
+        self.spaced, self.heads = _Known(), _Known()
 
     def values(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its pieces, in order."""
-        if len(self.spaced) > self.most:
-            self.spaced.clear()
-        if len(self.heads) > self.most:
-            self.heads.clear()
+        for known in (self.spaced, self.heads):
+            if len(known) > self.most:
+                known.clear()
         heads, spaced = self.heads, self.spaced
-        parts = [cut(t) for t in texts]
-        new = {p for _, rest in parts for p in rest if p not in spaced}
-        new_heads = {h for h, _ in parts if h and h not in heads}
-        ordered = list(new)
-        spaced.update(zip(ordered, self.encode([" " + p for p in ordered]), strict=True))
-        ordered = list(new_heads)
-        heads.update(zip(ordered, self.encode(ordered), strict=True))
-        for head, rest in parts:
-            found = list(map(spaced.__getitem__, rest))
-            yield [heads[head], *found] if head else found
+        found = []
+        for text in texts:
+            head, rest = cut(text)
+            found.append((heads[head] if head else None, list(map(spaced.__getitem__, rest))))
+        for known, space in ((spaced, " "), (heads, "")):
+            new = list(known.new)
+            known.new.clear()
+            known.update(zip(new, self.encode([space + p for p in new]), strict=True))
+        for head, values in found:
+            values = [spaced[v] if type(v) is str else v for v in values]
+            if head is not None:
+                values.insert(0, heads[head] if type(head) is str else head)
+            yield values
 
 
 def slices(keys: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:

@@ -18,13 +18,16 @@ A key's slot is ``hash(key, seed of its bucket) mod n_docs``; seeds were sought
 a slot of its own and none is left over.  A lookup reads one seed, one slot, compares the fingerprint
 and slices the payload: constant time.  A fingerprint that differs means an absent key.
 
-Keys that repeat are told apart by their number of occurrence.  Order of equal keys: by text.
+Keys that repeat are told apart by their number of occurrence.  Order of equal keys: by ids.
 Defined results: null text is empty (only the end id); a null key comes first; an empty table gives an
 empty file; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import gc
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,7 +41,10 @@ from pyspark.sql import functions as F
 from needlework.llm.common import only, shared_dir
 from needlework.llm.pieces import Table, slices
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
+#: Pieces that are encoded as one text: the pattern makes a match of every line feed between them.
+LINES = 2_000
+_LINED = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
 #: A shard is closed when it holds this many ids or documents; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 12
@@ -187,17 +193,25 @@ def _table(path: str, width: int) -> Table:
     own.encode_special_tokens = True  # their strings in a text are ordinary text
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
+    feed = own.encode("\n", add_special_tokens=False).ids
+
     def encode(pieces: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(pieces), 20_000):
-            coded = own.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False)
-            ids = [c.ids for c in coded]
-            ends = np.cumsum([len(x) for x in ids]) * width
-            raw = np.fromiter((i for x in ids for i in x), kind).tobytes()
-            begin = 0
-            for end in ends.tolist():
-                out.append(raw[begin:end])
-                begin = end
+        """Ids of each piece.  Those without white space inside, but for lone line feeds, share a line-fed text."""
+        out: list[bytes] = [b""] * len(pieces)
+        simple = [k for k, p in enumerate(pieces) if _LINED(p)] if len(feed) == 1 else []
+        for at in range(0, len(simple), LINES):
+            some = simple[at : at + LINES]
+            (coded,) = own.encode_batch_fast(["\n".join([pieces[k] for k in some])], add_special_tokens=False)
+            ids = np.array(coded.ids, kind)
+            feeds = np.flatnonzero(ids == feed[0])
+            last = np.cumsum([pieces[k].count("\n") + 1 for k in some])[:-1] - 1
+            raw, begin = ids.tobytes(), 0
+            for k, end in zip(some, [*(feeds[last] * width).tolist(), len(raw)], strict=True):
+                out[k] = raw[begin:end]
+                begin = end + width
+        odd = [k for k in range(len(pieces)) if not out[k]]
+        for k, coded in zip(odd, own.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = np.array(coded.ids, kind).tobytes()
         return out
 
     return Table(encode, CACHE_PIECES)
@@ -218,22 +232,19 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, vocabula
     end = int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
-
+        gc.disable()  # the table holds no cycles, and is costly to walk
         table = _table(tokenizer_path, width)
         for batch in batches:
             for keys, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = [b"".join(found) + end for found in table.values(texts)]
-                prints = [zlib.crc32(t.encode()) for t in texts]
                 part = [0 if k is None else bisect.bisect_right(cuts, k) for k in keys]
                 yield pa.record_batch(
-                    [pa.array(part, pa.int32()), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array(raw, pa.binary())],
-                    names=["part", key, "tie", "raw"],
+                    [pa.array(part, pa.int32()), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["part", key, "raw"]
                 )
 
-    coded = rows.mapInArrow(encode, f"part int, {key} long, tie long, raw binary")
-    dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", key, "tie", "raw")
-    shards = dealt.select("part", key, "raw").mapInArrow(_packer(width), SHARD_SCHEMA)
+    coded = rows.mapInArrow(encode, f"part int, {key} long, raw binary")
+    dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", key, "raw")
+    shards = dealt.mapInArrow(_packer(width), SHARD_SCHEMA)
     shards.write.option("compression", "zstd").parquet(path)
 
 
