@@ -45,7 +45,10 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 _NAME = re.compile(r"[a-z]+|\d+")
+#: What a name says of a container's surroundings, not of itself.
+_ABOUT = re.compile(r"\b(?:with|has|no|without|hide|show)[-_ ][a-z]+")
 
 #: Elements whose content is text to no reader.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -65,6 +68,8 @@ CHROME_NAMES = {
     "overlay", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended", "share", "sharing",
     "social", "widget", "widgets", "pagination", "pager", "toolbar", "copyright", "disclaimer", "paywall", "alert",
 }
+CHROME_ENDS = ("nav", "menu", "footer", "sidebar", "comments", "banner", "popup", "navbar")
+CHROME_STARTS = ("advert", "cookie", "sidebar", "sponsor", "breadcrumb", "newsletter")
 #: These are chrome outside an article only; an article's header holds its headline.
 OUTER_NAMES = {"header", "site"}
 #: Opening one of these ends an open paragraph.
@@ -80,14 +85,15 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
     if not attributes.strip():
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = set(_NAME.findall(value))
-            if words & CHROME_NAMES and tag not in ("html", "body", "main") or words & OUTER_NAMES and not inside and tag not in ("html", "body", "main", "article"):
+            words = {w for v in (value, _HUMP.sub(r"\1 \2", value)) for w in _NAME.findall(_ABOUT.sub("", v.lower()))}
+            named = words & CHROME_NAMES or any(w.endswith(CHROME_ENDS) or w.startswith(CHROME_STARTS) for w in words)
+            if named and tag not in ("html", "body", "main") or words & OUTER_NAMES and not inside and tag not in ("html", "body", "main", "article"):
                 return True
-        elif name == "role" and value.strip() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        elif name == "role" and value.strip().lower() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True
     return False
 
@@ -244,11 +250,11 @@ def extract(pages: DataFrame) -> DataFrame:
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
     # a page has a key once; copies of a row have one uid, so the least and the largest tell pages apart
     runs = sorted_.groupBy("host", "role", "key").agg(F.count("*").alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high")
-    repeated = runs.join(sizes, "host").where(
-        F.when(F.col("role") == ARTICLE, (F.col("n") >= COMMON_PAGES) & (F.col("n") > COMMON_SHARE * F.col("pages"))).otherwise(True)
-    )
+    keys = ["host", "role", "key"]
+    common = runs.where((F.col("role") == ARTICLE) & (F.col("n") >= COMMON_PAGES)).join(sizes, "host").where(F.col("n") > COMMON_SHARE * F.col("pages"))
+    repeated = runs.where(F.col("role") == OTHER).select(*keys).union(common.select(*keys))
     losing = stage(
-        sorted_.join(repeated.select("host", "role", "key"), ["host", "role", "key"]).groupBy("uid").agg(F.collect_set("key").alias("repeated")), "html-repeated"
+        sorted_.join(repeated, keys).groupBy("uid").agg(F.collect_set("key").alias("repeated")), "html-repeated"
     )
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,3 +309,8 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
 def test_every_query_runs(spark, sf_dir):
     for name in ("op1_html_text", "op5_quality_classifier", "op7_url_filter", "op8_embedding_dedup", "op9_language", "op10_mixing"):
         assert registry.queries()[name](spark, sf_dir).count() > 0, name
+
+
+def test_html_names_of_containers():
+    page = '<div class="page-with-sidebar has_ads"><div class=topNav>menu</div><div class="mainFooter">end</div><div class="SideBar">s</div><p class="commentary">kept</p><div id=adBox class="ad-box">ad</div><p>text</p></div>'
+    assert html_text.unique_text(html_text.blocks(page), set()) == "kept\n\ntext"
