@@ -132,7 +132,7 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFra
     suspect and it fails a soft rule (symbols, duplicate lines); a clean document of a bad host stays.
     """
     stats = stage(statistics(docs, key, host), "quality-stats")
-    hosts = host_verdicts(stats, host).where("suspect").select("host", "suspect")
+    hosts = stage(host_verdicts(stats, host).where("suspect").select("host", "suspect"), "quality-suspects")  # its size is known then
     rules = _rules()
     met = stats.join(hosts, stats[host].eqNullSafe(hosts["host"]), "left")
     base = rules["short"] | rules["repeats"]
@@ -152,7 +152,7 @@ def keep(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*columns).alias("__row"), F.col("text"), F.col("source"))
     stats = statistics(packed, "__row", "source")
     narrow = stage(statistics(docs, "source"), "quality-hosts")
-    hosts = host_verdicts(narrow).where("suspect").select("host", "suspect")
+    hosts = stage(host_verdicts(narrow).where("suspect").select("host", "suspect"), "quality-suspects")  # its size is known then
     rules = _rules()
     met = stats.where(~(rules["short"] | rules["repeats"])).join(
         hosts, stats["source"].eqNullSafe(hosts["host"]), "left"
