@@ -16,11 +16,14 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,7 +31,8 @@ from needlework.llm.common import only
 from needlework.llm.pieces import Table, slices
 
 LONG_WORD = 512
-CACHE_WORDS = 800_000
+#: Words, and pieces, that a worker keeps: about 300 bytes each, so some 200 MB of a worker in all.
+CACHE_WORDS = 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +73,7 @@ WITH RECURSIVE step(word, round, ids) AS (
     ) GROUP BY word
   ) best ON best.word = s.word
 )
-SELECT word, arg_max(ids, round) FROM step GROUP BY word
+SELECT word, arg_max(ids, round) AS ids FROM step GROUP BY word
 """
 
 
@@ -81,14 +85,15 @@ class Coder:
         import regex
 
         ranks = read_ranks(rank_path)
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.ranks = ranks
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
         a, b, merged = merge_rows(ranks)
         pairs = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(merged, pa.int32())})
-        tokens = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())})
+        tokens = pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array([t.hex() for t in ranks], pa.string())})  # bytes in hexadecimal
         self._load("merges", pairs)
         self._load("tokens", tokens)
+        self.split = regex.compile(pattern).findall
         self.words: dict[str, tuple[int, str, bytes]] = {}
         self.pieces = Table(self.code_pieces, CACHE_WORDS)
 
@@ -99,20 +104,20 @@ class Coder:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, contracted by the recursive query (long words: by a heap)."""
-        out: list[list[int]] = [[] for _ in words]
-        short, ids = [], []
-        for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = self._heap_merge(w)
-            else:
-                short.append(k)
-                ids.append([self.byte_ids[b] for b in w])
-        if short:
-            self._load("start", pa.table({"word": pa.array(short, pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
-            found = self.db.sql(_CONTRACT).to_arrow_table()
-            for k, coded in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-                out[k] = coded
-        return out
+        return self._contract(words)[0].to_pylist()
+
+    def _contract(self, words: list[bytes]) -> tuple[pa.ListArray, list[str]]:
+        """The ids of each word, and the same in decimal joined by a space."""
+        short = [k for k, w in enumerate(words) if len(w) <= LONG_WORD]
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        merged = [self._heap_merge(words[k]) for k in long]
+        flat = self.byte_ids[np.frombuffer(b"".join([words[k] for k in short]), np.uint8)]
+        ends = np.cumsum([0, *[len(words[k]) for k in short]])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        self._load("start", pa.table({"word": pa.array(short, pa.int32()), "ids": ids}))
+        self._load("ready", pa.table({"word": pa.array(long, pa.int32()), "ids": pa.array(merged, pa.list_(pa.int32()))}))
+        found = self.db.sql(f"SELECT ids, array_to_string(ids, ' ') AS said FROM ({_CONTRACT} UNION ALL SELECT * FROM ready) ORDER BY word").to_arrow_table()
+        return found.column(0).combine_chunks(), found.column(1).to_pylist()
 
     def _heap_merge(self, w: bytes) -> list[int]:
         """The same contraction for one long word, in n log n: a heap of (rank, position) over a linked list."""
@@ -140,31 +145,29 @@ class Coder:
 
     def decode_ids(self, sequences: list[list[int]]) -> list[bytes]:
         """Bytes of each id sequence: token rows aggregated in order of position."""
+        return self._decode(pa.array(sequences, pa.list_(pa.int32())))
+
+    def _decode(self, sequences: pa.ListArray) -> list[bytes]:
         out = [b""] * len(sequences)
-        seq = [k for k, ids in enumerate(sequences) for _ in ids]
-        if not seq:
-            return out
-        pos = [p for ids in sequences for p in range(len(ids))]
-        flat = [i for ids in sequences for i in ids]
-        self._load("coded", pa.table({"seq": pa.array(seq, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": pa.array(flat, pa.int32())}))
-        rows = self.db.execute(
-            "SELECT seq, unhex(string_agg(hex(bytes), '' ORDER BY pos)) FROM coded JOIN tokens USING (id) GROUP BY seq"
-        ).fetchall()
-        for k, found in rows:
-            out[k] = bytes(found)
+        sizes = np.asarray(sequences.value_lengths()).astype(np.int64) if len(sequences) else np.zeros(0, np.int64)
+        seq = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self._load("coded", pa.table({"seq": pa.array(seq, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": sequences.flatten()}))
+        found = self.db.sql("SELECT seq, string_agg(bytes, '' ORDER BY pos) FROM coded JOIN tokens USING (id) GROUP BY seq").to_arrow_table()
+        for k, said in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+            out[k] = bytes.fromhex(said)
         return out
 
     def code_pieces(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids in decimal joined by a space, decoded bytes) of each piece."""
-        words, parts = self.words, [self.split(p) for p in pieces]
+        words, parts = self.words, list(map(self.split, pieces))
         if len(words) > CACHE_WORDS:
             words.clear()
-        unmet = list({w for ws in parts for w in ws if w not in words})
+        unmet = list(set(filterfalse(words.__contains__, chain.from_iterable(parts))))
         for at in range(0, len(unmet), 20_000):
             some = unmet[at : at + 20_000]
-            coded = self.encode_words([w.encode("utf-8") for w in some])
-            for w, ids, back in zip(some, coded, self.decode_ids(coded), strict=True):
-                words[w] = (len(ids), " ".join(map(str, ids)), back)
+            coded, said = self._contract([w.encode("utf-8") for w in some])
+            words.update(zip(some, zip(coded.value_lengths().to_pylist(), said, self._decode(coded), strict=True), strict=True))
         return [words[ws[0]] if len(ws) == 1 else _joined([words[w] for w in ws]) for ws in parts]
 
     def code(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
@@ -182,6 +185,7 @@ def _joined(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
 @lru_cache(maxsize=2)
 def coder(rank_path: str, pattern: str) -> Coder:
     """One coder a worker process and rank file."""
+    gc.disable()  # its tables hold no cycles, and are costly to walk
     return Coder(rank_path, pattern)
 
 
