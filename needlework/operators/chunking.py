@@ -117,3 +117,16 @@ def offsets(parts: DataFrame) -> DataFrame:
     """(hay_id, seq, off) recomputed from the chunks' lengths: a running sum a haystack."""
     before = Window.partitionBy("hay_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return parts.select("hay_id", "seq", F.coalesce(F.sum(F.octet_length("chunk")).over(before), F.lit(0)).cast("long").alias("off"))
+
+
+def chunk_table(parts: DataFrame) -> DataFrame:
+    """(chunk_hay, chunk_seq, chunk, refs): a row a distinct chunk, named by its first place; contents are compared, not hashes."""
+    first = F.min(F.struct("hay_id", "seq")).alias("first")
+    return parts.groupBy("chunk").agg(first, F.count("*").alias("refs")).select(F.col("first.hay_id").alias("chunk_hay"), F.col("first.seq").alias("chunk_seq"), "chunk", "refs")
+
+
+def object_table(parts: DataFrame) -> DataFrame:
+    """(hay_id, chunks, bytes, digest): each content's number of chunks, length and content hash."""
+    size = F.octet_length("chunk")
+    own = parts.groupBy("hay_id").agg(F.count("*").alias("chunks"), F.sum(size).alias("bytes"))
+    return own.join(assemble(parts).select("hay_id", F.xxhash64("bytes").alias("digest")), "hay_id")

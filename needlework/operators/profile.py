@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from needlework.functions import search
+
 SAMPLE = 131_072
 BLOCK = 8192
 #: Entropy (bits a byte) up to which a haystack is labelled high, mixed; beyond, low.
@@ -55,9 +57,13 @@ def label(hays: DataFrame, budget: int = 1) -> DataFrame:
 
 def may_contain(hays: DataFrame, needle: str) -> DataFrame:
     """(hay_id, may): whether all bytes of the needle occur; false only where the needle is absent."""
+    return hays.select("hay_id", _may(needle).alias("may"))
+
+
+def _may(needle: str) -> Column:
     wanted = sorted({f"{b:02X}" for b in needle.encode()})
     own = F.regexp_extract_all(F.hex("text"), F.lit("(..)"), F.lit(1))
-    return hays.select("hay_id", (F.size(F.array_except(F.array(*map(F.lit, wanted)), own)) == 0 if wanted else F.lit(True)).alias("may"))
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)), own)) == 0 if wanted else F.lit(True)
 
 
 def blocks(hays: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFrame:
@@ -82,3 +88,11 @@ def candidate_blocks(hays: DataFrame, needle: str, size: int = BLOCK) -> DataFra
     """(hay_id, block): blocks in which the needle begins; blocks overlap, so a needle across a border counts."""
     wide = max(0, len(needle.encode()) - 1)
     return blocks(hays, size, wide).where(F.contains("bytes", F.lit(needle.encode()))).select("hay_id", "block")
+
+
+def find_profiled(hays: DataFrame, needle: str, overlap: bool = False) -> DataFrame:
+    """(hay_id, off, n): find and count where the needle's bytes all occur, -1 and 0 elsewhere; the answers are those without a profile."""
+    rows = hays.select("hay_id", "text", _may(needle).alias("may"))
+    off = F.when(F.col("may"), search.find("text", needle)).when(F.col("text").isNotNull(), F.lit(-1))
+    n = F.when(F.col("may"), search.count("text", needle, overlap)).when(F.col("text").isNotNull(), F.lit(0))
+    return rows.select("hay_id", off.cast("long").alias("off"), n.cast("long").alias("n"))

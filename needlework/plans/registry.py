@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needlework.functions import search
+from needlework.functions import sql as sql_forms
 from needlework.operators import batch, chunking, listing, profile, repeats, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +357,50 @@ def chunk_assembly(spark, sf_dir):
 @query("SELECT doc_id AS hay_id, substr(hex(encode(text)), 3001, 400) AS bytes FROM documents WHERE strlen(text) > 1500")
 def chunk_range(spark, sf_dir):
     return chunking.read_chunks(chunking.chunks(_hays(spark, sf_dir)), 1500, 200).select("hay_id", F.hex("bytes").alias("bytes"))
+
+
+@query()
+def chunk_table(spark, sf_dir):
+    """The distinct chunks and their references, tested against the byte-by-byte rule."""
+    return chunking.chunk_table(chunking.chunks(_hays(spark, sf_dir)))
+
+
+@query("SELECT doc_id AS hay_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text <> ''")
+def object_table(spark, sf_dir):
+    return chunking.object_table(chunking.chunks(_hays(spark, sf_dir))).select("hay_id", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query("SELECT doc_id AS hay_id, CAST(instr(text, 'idiot') - 1 AS BIGINT) AS off, CAST((length(text) - length(replace(text, 'idiot', ''))) // 5 AS BIGINT) AS n FROM documents")
+def find_profiled(spark, sf_dir):
+    return profile.find_profiled(_hays(spark, sf_dir), "idiot")
+
+
+@query("""SELECT doc_id AS hay_id, CAST(instr(text, 'tion') - 1 AS BIGINT) AS off, CAST(CASE WHEN instr(text, 'é') = 0 THEN -1 ELSE strlen(substr(text, 1, instr(text, 'é') - 1)) END AS BIGINT) AS bytes,
+contains(text, 'aa') AS has, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n, CASE WHEN contains(text, 'zz') THEN CAST(instr(text, 'zz') - 1 AS BIGINT) END AS position FROM documents""")
+def sql_functions(spark, sf_dir):
+    """The searches called by name from SQL text."""
+    sql_forms.register(spark)
+    hays = _hays(spark, sf_dir)
+    return spark.sql(
+        "SELECT hay_id, needle_find(text, 'tion') AS off, needle_find_bytes(text, 'é') AS bytes, needle_has(text, 'aa') AS has, needle_count(text, 'the') AS n, "
+        "needle_position(text, 'zz') AS position FROM {hays}",
+        hays=hays,
+    )
+
+
+@query("SELECT doc_id AS hay_id, CASE WHEN contains(text, 'zz') THEN CAST(instr(text, 'zz') - 1 AS BIGINT) END AS position, CAST(1 AS INTEGER) AS empty_places FROM documents")
+def script_forms(spark, sf_dir):
+    rows = _hays(spark, sf_dir)
+    return rows.select("hay_id", sql_forms.position("text", "zz").alias("position"), F.size(sql_forms.positions("text", "")).alias("empty_places"))
+
+
+@query()
+def repeats_map(spark, sf_dir):
+    return sql_forms.repeats_map(_hays(spark, sf_dir))
+
+
+@query("SELECT event_type, count(*) AS events, CAST(sum((length(props) - length(replace(props, '1', '')))) AS BIGINT) AS ones FROM events WHERE contains(props, '1') GROUP BY event_type")
+def events_search(spark, sf_dir):
+    """Search in a filter and in an aggregate."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(search.has("props", "1"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("events"), F.sum(search.count("props", "1")).alias("ones"))

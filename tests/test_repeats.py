@@ -95,6 +95,15 @@ def test_chunks_equal_the_byte_by_byte_rule(spark):
     stats = chunking.dedup_stats(parts).first()
     assert stats["raw_bytes"] == sum(len((t or "").encode()) for t in texts) and stats["resident_bytes"] < 0.6 * stats["raw_bytes"]
     assert all(r["n"] >= 2 for r in chunking.twins(parts).collect())
+    places = {}
+    for i, t in enumerate(texts):
+        ends = slow_cuts((t or "").encode(), chunking.LEAST, chunking.MOST)
+        for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            places.setdefault((t or "").encode()[a:b], []).append((i, k))
+    kept = {bytes(r["chunk"]): (r["chunk_hay"], r["chunk_seq"], r["refs"]) for r in chunking.chunk_table(parts).collect()}
+    assert kept == {c: (*min(p), len(p)) for c, p in places.items()}
+    objects = {r["hay_id"]: (r["chunks"], r["bytes"]) for r in chunking.object_table(parts).collect()}
+    assert objects == {i: (len(slow_cuts(t.encode(), chunking.LEAST, chunking.MOST)), len(t.encode())) for i, t in enumerate(texts) if t}
     whole = chunking.fixed_chunks(frame(spark, texts), 1000).where(F.col("hay_id") == 0).orderBy("seq").collect()
     assert [bytes(r["chunk"]) for r in whole] == [texts[0].encode()[i : i + 1000] for i in range(0, len(texts[0].encode()) - 999, 1000)]
     with pytest.raises(ValueError, match="bytes at least"):

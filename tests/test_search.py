@@ -218,3 +218,18 @@ def test_streams(spark, tmp_path):
     q.stop()
     windows = spark.table("windows").collect()
     assert len(windows) == 3 and sum(r["hits"] for r in windows) == 30 and sum(r["n"] for r in windows) == 50
+
+
+def test_profiled_and_script_forms(spark):
+    from needlework.functions import sql
+
+    texts = ["hello world", "no", "", None, "ababab"]
+    got = {r["hay_id"]: (r["off"], r["n"]) for r in profile.find_profiled(frame(spark, texts), "ab", True).collect()}
+    assert got == {0: (-1, 0), 1: (-1, 0), 2: (-1, 0), 3: (None, None), 4: (0, 3)}
+    names = sql.register(spark)
+    rows = spark.sql("SELECT " + ", ".join(f"{n}('aXa', 'Xa'), {n}('aXa', '')" for n in names)).first()
+    assert list(rows) == [1, 0, 1, 0, True, True, 1, 0, 1, 0]
+    forms = frame(spark, ["aaaa"]).select(sql.position("text", "b"), sql.position("text", "a"), sql.positions("text", ""), sql.positions("text", "aa", True, 2)).first()
+    assert list(forms) == [None, 0, [0], [0, 1]]
+    maps = {r["hay_id"]: r["repeats"] for r in sql.repeats_map(frame(spark, ["short short", "THE_QUICK_BROWN_FOX_" * 20, None])).collect()}
+    assert maps[0] is None and maps[2] is None and all(("THE_QUICK_BROWN_FOX_" * 20).count(bytes.fromhex(k).decode()) == n for k, n in maps[1].items()) and maps[1]
