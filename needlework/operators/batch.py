@@ -18,6 +18,8 @@ from needlework.functions import search
 
 JOIN_NEEDLES = 64
 JOIN_BYTES = 1 << 16
+#: Beyond so many bytes of needles a join is refused even where it is asked for: they would be broadcast.
+JOIN_MOST_BYTES = 1 << 20
 #: Bytes of the needles that one scan looks for.
 BLOCK_BYTES = 1 << 18
 #: From so many needles on a scan uses one automaton for all.
@@ -30,9 +32,13 @@ def _sized(needles: DataFrame) -> tuple[int, int]:
 
 
 def _strategy(needles: DataFrame, strategy: str) -> str:
-    if strategy != "auto":
+    if strategy == "scan":
         return strategy
     n, size = _sized(needles)
+    if strategy == "join":
+        if size > JOIN_MOST_BYTES:
+            raise ValueError(f"{size} bytes of needles: use scan, a join would broadcast them")
+        return strategy
     return "join" if n <= JOIN_NEEDLES and size <= JOIN_BYTES else "scan"
 
 
@@ -103,7 +109,7 @@ def has_pairs(hays: DataFrame, needles: DataFrame, strategy: str = "auto") -> Da
     """(hay_id, needle) of every needle (distinct) that occurs in a haystack (hay_id, text)."""
     if _strategy(needles, strategy) == "scan":
         return _scan(hays, needles, False, False).select("hay_id", "needle")
-    few = needles.select("needle").distinct()  # at most JOIN_NEEDLES, checked above
+    few = needles.select("needle").distinct()  # at most JOIN_MOST_BYTES, checked above
     return hays.join(F.broadcast(few), F.contains("text", "needle")).select(F.col("hay_id").cast("long"), "needle")
 
 
