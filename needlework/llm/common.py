@@ -71,7 +71,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        met = both.join(least, "a")
+        # the key is written anew, so that both sides are dealt out for this join and a hub's edges may be split
+        again = least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("hub"), "m")
+        met = both.join(again, both["a"] == again["hub"])
         if large:
             out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

@@ -100,7 +100,7 @@ def models(docs: DataFrame, good: DataFrame, key: str = "doc_id") -> np.ndarray
 
 
 def log_weights(docs: DataFrame, model: np.ndarray | None, key: str = "doc_id", carry: bool = False) -> DataFrame:
-    """(key, score), or all columns and score: the mean log importance weight of every document."""
+    """(key, score), or all columns and __score: the mean log importance weight of every document."""
     rows = only(docs, **{key: "long", "text": "string"})
 
     def score(text: str | None) -> float:
@@ -113,10 +113,10 @@ def log_weights(docs: DataFrame, model: np.ndarray | None, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array([score(t.as_py()) for t in batch.column("text")], pa.float64())
-            yield batch.append_column("score", scores) if carry else pa.record_batch([batch.column(key), scores], names=[key, "score"])
+            yield batch.append_column("__score", scores) if carry else pa.record_batch([batch.column(key), scores], names=[key, "score"])
 
     if carry:
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
     return rows.mapInArrow(run, f"{key} long, score double")
 
 
@@ -174,7 +174,7 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     model = models(docs, good, key)
     _, least = choose(log_weights(docs, model, key), good, key)
     rows = log_weights(docs, model, key, carry=True)
-    kept = rows if least is None else rows.where(_noisy(F.col("score"), key) >= least)
+    kept = rows if least is None else rows.where(_noisy(F.col("__score"), key) >= least)
     return kept.select(*docs.columns)
 
 

@@ -130,7 +130,7 @@ def fit(train: DataFrame, key: str = "doc_id") -> Model:
         return Model(idf, [], np.zeros((0, DIM), np.float32), {})
     share = (SAMPLE / languages) / F.col("n")
     draw = F.pmod(F.xxhash64(F.lit("language sample"), key), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(F.broadcast(per), "lang").where(draw < share).select("lang", "text")
+    sample = rows.join(F.broadcast(per) if languages <= SAMPLE else per, "lang").where(draw < share).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,11 +16,20 @@ BATCH_CHARS = 4_000_000
 
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
+#: A space before these, or at the end, is no cut; in ASCII texts there are no other white spaces.
+_ASCII_ODD = tuple(" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
+
+
+def _even(text: str) -> bool:
+    """Whether every space of the text is a cut."""
+    if text.isascii():
+        return not text.endswith(" ") and not any(c in text for c in _ASCII_ODD)
+    return not _ODD.search(text)
 
 
 def cut(text: str) -> tuple[str, list[str]]:
     """The text before its first cut, and the pieces after each, without the space that begins them."""
-    if not _ODD.search(text):
+    if _even(text):
         head, *rest = text.split(" ")
         return head, rest
     at = [m.start() for m in _CUT.finditer(text)]
@@ -35,9 +44,11 @@ class _Known(dict):
     def __init__(self):
         super().__init__()
         self.new: set[str] = set()
+        self.missed = 0
 
     def __missing__(self, piece: str) -> str:
         self.new.add(piece)
+        self.missed += 1
         return piece
 
 
@@ -57,13 +68,16 @@ class Table:
         found = []
         for text in texts:
             head, rest = cut(text)
-            found.append((heads[head] if head else None, list(map(spaced.__getitem__, rest))))
+            before = spaced.missed
+            values = list(map(spaced.__getitem__, rest))
+            found.append((heads[head] if head else None, values, spaced.missed > before))
         for known, space in ((spaced, " "), (heads, "")):
             new = list(known.new)
             known.new.clear()
             known.update(zip(new, self.encode([space + p for p in new]), strict=True))
-        for head, values in found:
-            values = [spaced[v] if type(v) is str else v for v in values]
+        for head, values, missed in found:
+            if missed:
+                values = [spaced[v] if type(v) is str else v for v in values]
             if head is not None:
                 values.insert(0, heads[head] if type(head) is str else head)
             yield values

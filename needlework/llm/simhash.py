@@ -209,10 +209,13 @@ def keep(docs: DataFrame, key: str = "doc_id", tau: int = 4, words_each: int = 4
     prints = stage(fingerprints(rows, key, words_each, "__hash"), "simhash-prints")
     grouped = components(prints.select("fp").distinct().select(F.col("fp").alias("row"), "fp"), tau, "row").select("fp", F.col("component_id").alias("group"))
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__hash").alias("h"))
-    firsts = prints.join(grouped, "fp").groupBy("group").agg(F.min(order).alias("first")).select("first.k", "first.h").distinct()
-    alike = prints.groupBy(F.col(key).alias("k"), F.col("__hash").alias("h")).agg(F.count("*").alias("__alike"))
-    firsts = stage(firsts.join(alike, firsts["k"].eqNullSafe(alike["k"]) & (firsts["h"] == alike["h"])).select(firsts["k"], firsts["h"], "__alike"), "simhash-firsts")
-    met = rows.join(firsts, F.col(key).cast("long").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")))
-    nth = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.lit(1)))  # rows alike in every column
+    # copies share a fingerprint: its least row first, then that of the group
+    leading = prints.groupBy("fp").agg(F.min(order).alias("first")).join(grouped, "fp")
+    firsts = leading.groupBy("group").agg(F.min("first").alias("first")).select("first.k", "first.h")
+    alike = prints.groupBy(F.col(key).alias("k"), F.col("__hash").alias("h")).agg(F.count("*").alias("n"))
+    same = firsts["k"].eqNullSafe(alike["k"]) & (firsts["h"] == alike["h"])
+    firsts = stage(firsts.join(alike, same).select(firsts["k"].alias("__k"), firsts["h"].alias("__h"), F.col("n").alias("__alike")), "simhash-firsts")
+    met = rows.join(firsts, F.col(key).cast("long").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")))
+    nth = F.row_number().over(Window.partitionBy("__k", "__h").orderBy(F.lit(1)))  # rows alike in every column
     again = met.where("__alike > 1").withColumn("__nth", nth).where("__nth = 1")
     return met.where("__alike = 1").select(*columns).union(again.select(*columns))

@@ -48,7 +48,8 @@ _LINED = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
 #: A shard is closed when it holds this many ids or documents; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
 SHARD_DOCS = 1 << 12
-BUCKET = 4
+BUCKET = 2
+TRIALS = 32
 NULL_KEY = -(2**63)
 
 SHARD_SCHEMA = (
@@ -87,26 +88,23 @@ def build_index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bucket = (h % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    first = _slot(h[order][:, None], np.arange(TRIALS, dtype=np.uint64)[None, :], n)  # most buckets need no more
     taken = np.zeros(n, bool)
     seeds, slots = np.zeros(n_buckets, np.uint32), np.zeros(n, np.int64)
     for b in np.argsort(-np.diff(bounds), kind="stable"):
         rows = order[bounds[b] : bounds[b + 1]]
         if not len(rows):
             break
-        start, block = 0, 32
+        at, start = first[bounds[b] : bounds[b + 1]].T, 0
         while True:
-            tried = np.arange(start, start + block, dtype=np.uint64)
-            at = _slot(h[rows][None, :], tried[:, None], n)
-            good = ~taken[at].any(axis=1)
-            if len(rows) > 1:
-                ranked = np.sort(at, axis=1)
-                good &= (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
-            hit = np.flatnonzero(good)
-            if len(hit):
-                seeds[b], slots[rows] = start + hit[0], at[hit[0]]
-                taken[at[hit[0]]] = True
+            hit = next((k for k in np.flatnonzero(~taken[at].any(axis=1)).tolist() if len(set(at[k].tolist())) == len(rows)), None)
+            if hit is not None:
+                seeds[b], slots[rows] = start + hit, at[hit]
+                taken[at[hit]] = True
                 break
-            start, block = start + block, min(4096, block * 2)
+            start += len(at)
+            tried = np.arange(start, start + min(4096, 2 * len(at)), dtype=np.uint64)
+            at = _slot(h[rows][None, :], tried[:, None], n)
     return seeds, slots
 
 
@@ -245,7 +243,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, vocabula
     coded = rows.mapInArrow(encode, f"part int, {key} long, raw binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", key, "raw")
     shards = dealt.mapInArrow(_packer(width), SHARD_SCHEMA)
-    shards.write.option("compression", "zstd").parquet(path)
+    shards.write.option("compression", "uncompressed").parquet(path)
 
 
 def _packer(width: int):

@@ -73,7 +73,9 @@ def spread(edges: DataFrame, seeds: DataFrame, total: int, value: str) -> DataFr
         return start
     now = start
     for step in range(1, STEPS + 1):
-        moved = now.join(moves, now["host"] == moves["src"]).select(F.col("dst").alias("host"), (F.col(value) * F.col("share")).alias(value))
+        # the host is written anew, so that both sides are dealt out for this join and a hub's links may be split
+        ranked = now.select(F.concat("host", F.lit("")).alias("at"), value)
+        moved = ranked.join(moves, ranked["at"] == moves["src"]).select(F.col("dst").alias("host"), (F.col(value) * F.col("share")).alias(value))
         now = start.union(moved).groupBy("host").agg(F.sum(value).alias(value))
         if step % STAGE_EVERY == 0:
             now = stage(now, "url-ranks")
@@ -96,7 +98,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     trust = spread(edges, mass.select("host", F.col("good").alias("mass")), total, "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = spread(back, mass.select("host", F.col("bad").alias("mass")), total, "distrust")
-    hosts = trust.join(distrust, "host", "full")
+    hosts = stage(trust.join(distrust, "host", "full"), "url-hosts")  # its size is known then, and a hot host's pages may be split
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     own = F.when(d > DISTRUST * t, "block").otherwise("allow")
     return ruled.join(hosts, "host", "left").select(

@@ -314,3 +314,25 @@ def test_every_query_runs(spark, sf_dir):
 def test_html_names_of_containers():
     page = '<div class="page-with-sidebar has_ads"><div class=topNav>menu</div><div class="mainFooter">end</div><div class="SideBar">s</div><p class="commentary">kept</p><div id=adBox class="ad-box">ad</div><p>text</p></div>'
     assert html_text.unique_text(html_text.blocks(page), set()) == "kept\n\ntext"
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, k string, h long, score string, n_words string, value string, fp string, size string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_awkward_rows(spark, sf_dir, tmp_path, empty):
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns named like those of the operators."""
+    words = " ".join(f"word{i} and the" for i in range(30))
+    rows = [(*r[:5], "k", 1, "s", "w", "v", "f", "z") for r in documents()] + [(900 + i, f"{words} {i}", "en", f"s{i % 2}", 1, None, None, None, None, None, None, None) for i in range(5)]
+    rows += [rows[-1], rows[-1], (None, words + " null key", None, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame([] if empty else rows, AWKWARD)
+    columns = docs.columns
+    for k, (_, apply) in enumerate(corpus_pipeline.STAGES):
+        apply(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == columns
+        assert empty == (docs.count() == 0), k
+    names = {"op2": lambda d: corpus_pipeline.tokens(spark, d, sf_dir), "op3": quality_rules.judge, "op4": simhash.near_duplicates, "op9": language.identify, "op10": mixing.report}
+    whole = spark.createDataFrame([] if empty else rows, AWKWARD)
+    for name, apply in names.items():
+        assert apply(whole).count() == whole.count(), name
