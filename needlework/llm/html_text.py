@@ -12,6 +12,10 @@ article has one suffix, its whole self, and goes only when over half of the host
 least) carry it: articles may share passages, and those belong to the text.  A page of which nothing
 unique would remain is a copy, and keeps its blocks.
 
+Pages of a host whose text is equal, or that share most of it, are one group and count once: a group
+is judged by one page.  Equal texts meet by a hash; near copies by bands of a min-hash sketch of the
+token windows, each held against the first page of its band, so a group of G pages costs G rows.
+
 The suffixes of a host are spread by their tokens, so no task holds a host; runs are counted by
 pre-aggregation.  Only pages that do lose something need a join.
 
@@ -25,17 +29,21 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needlework.llm.common import only, stage
+from needlework.llm.common import connected_components, only, stage
 from needlework.llm.url_filter import host_and_path
 
 DEPTH = 8
 COMMON_PAGES = 5
 COMMON_SHARE = 0.5
+#: Places of a page's sketch, those of a band, and how many must agree for near copies: 0.55 of the windows in either.
+SKETCH, BAND = 64, 4
+AGREE = 36
 
 CHROME, ARTICLE, OTHER = 0, 1, 2
 
@@ -187,6 +195,11 @@ def _key(tokens: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")) - 2**63
 
 
+def _windows(tokens: list[str]) -> list[int]:
+    """Keys of the runs of DEPTH tokens, or of all tokens if there are no more."""
+    return [_key(tokens[i : i + DEPTH]) for i in range(max(1, len(tokens) - DEPTH + 1))]
+
+
 def _candidates(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The article's blocks where there is one, else the others."""
     article = [b for b in found if b[0] == ARTICLE]
@@ -205,6 +218,19 @@ def suffixes(found: list[tuple[int, str]]) -> set[tuple[int, int]]:
     return keys
 
 
+_FACTORS, _TERMS = np.random.default_rng(42).integers(1, 2**63, (2, SKETCH, 1), dtype=np.uint64) | np.uint64(1)
+
+
+def content(found: list[tuple[int, str]]) -> tuple[int, list[int]]:
+    """A hash of a page's candidate blocks, and the sketch of their token windows."""
+    texts = [text for _, text in _candidates(found)]
+    windows = np.array([k + 2**63 for k in {k for text in texts for k in _windows(text.split(" "))}], np.uint64)
+    lows = np.full((SKETCH, 1), 2**64 - 1, np.uint64)
+    for at in range(0, len(windows), 1 << 14):
+        lows = np.minimum(lows, (windows[at : at + (1 << 14)] * _FACTORS + _TERMS).min(axis=1, keepdims=True))
+    return _key(texts), (lows[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+
+
 def unique_text(found: list[tuple[int, str]], repeated: set[int]) -> str:
     """The candidate blocks without what ``repeated`` keys cover, joined by two line feeds."""
     candidates = _candidates(found)
@@ -226,6 +252,42 @@ def unique_text(found: list[tuple[int, str]], repeated: set[int]) -> str:
     return "\n\n".join(text for _, text in candidates)
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(uid): the pages of (uid, host, html) that another page of the host stands for, as copies or near copies."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, own, hashes, sketches = [], [], [], []
+            for u, h, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = blocks(html)
+                if found:
+                    hashed, lows = content(found)
+                    uid.append(u)
+                    own.append(h)
+                    hashes.append(hashed)
+                    sketches.append(lows)
+            yield pa.record_batch(
+                [pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["uid", "host", "content", "sketch"]
+            )
+
+    sketched = stage(rows.mapInArrow(sketch, "uid long, host string, content long, sketch array<int>"), "html-sketches")
+    own = sketched.groupBy("host", "content").agg(F.min("uid").alias("first"))
+    same = sketched.join(own, ["host", "content"]).where("uid <> first").select("uid")
+    firsts = stage(sketched.join(own.select(F.col("first").alias("uid")), "uid").dropDuplicates(["uid"]), "html-firsts")
+    banded = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.slice("sketch", i * BAND + 1, BAND)) for i in range(SKETCH // BAND)]))
+    bands = firsts.select("uid", "host", banded.alias("place", "band"))
+    met = bands.groupBy("host", "place", "band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("host", "place", "band", "low")
+    pairs = stage(bands.join(met, ["host", "place", "band"]).where("uid <> low").select("uid", "low").distinct(), "html-pairs")
+    sketches = firsts.select(F.col("uid").alias("low"), F.col("sketch").alias("of_low"))
+    both = pairs.join(firsts.select("uid", "sketch"), "uid").join(sketches, "low")
+    agree = F.size(F.filter(F.zip_with("sketch", "of_low", lambda x, y: x == y), lambda x: x))
+    links = stage(both.where(agree >= AGREE).select(F.col("uid").alias("a"), F.col("low").alias("b")), "html-links")
+    if not links.isEmpty():
+        joined = connected_components(links, "html-groups")
+        same = same.union(joined.where("node <> component").select("node"))
+    return stage(same.distinct(), "html-copies")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host, _ = host_and_path(F.col("url"))
@@ -247,9 +309,10 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     sorted_ = stage(rows.select("uid", "host", "html").mapInArrow(index, "uid long, host string, role int, key long"), "html-suffixes")
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    # a page has a key once; copies of a row have one uid, so the least and the largest tell pages apart
-    runs = sorted_.groupBy("host", "role", "key").agg(F.count("*").alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high")
+    # one page stands for its copies; repeated rows have one uid
+    judged = sorted_.join(copies(rows.select("uid", "host", "html")), "uid", "left_anti")
+    sizes = judged.select("host", "uid").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    runs = judged.distinct().groupBy("host", "role", "key").agg(F.count("*").alias("n")).where("n > 1")
     keys = ["host", "role", "key"]
     common = runs.where((F.col("role") == ARTICLE) & (F.col("n") >= COMMON_PAGES)).join(sizes, "host").where(F.col("n") > COMMON_SHARE * F.col("pages"))
     repeated = runs.where(F.col("role") == OTHER).select(*keys).union(common.select(*keys))

@@ -61,6 +61,29 @@ def test_html_repeats_of_a_host(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+def article(*texts):
+    return "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+
+
+def words(name, n=20):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+
+
+def test_html_copies_weigh_one(spark):
+    shared = words("shared")
+    rows = [(1, "http://h.example/1", article(shared, words("a")))] * 30 + [(2, "http://h.example/2", article(shared, words("b")))]
+    rows += [(10 + i, f"http://h.example/o{i}", article(words(f"o{i}x"))) for i in range(10)]
+    rows += [(100 + i, f"http://near.example/{i}", article(words("p", 60), words("q", 60), f"changed {words(f'c{i}x', 9)}")) for i in range(12)]
+    rows += [(200 + i, f"http://near.example/o{i}", article(words("p", 60) if i == 0 else words(f"r{i}x", 60), words(f"n{i}x", 60))) for i in range(5)]
+    got = texts_of(spark, rows)
+    assert got[1] == f"{shared}\n\n{words('a')}" and got[2] == f"{shared}\n\n{words('b')}"
+    assert got[105].startswith(words("p", 60)) and got[200].startswith(words("p", 60))
+
+
 # URL filters
 
 
