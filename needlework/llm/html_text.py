@@ -79,7 +79,20 @@ CHROME_NAMES = {
 CHROME_ENDS = ("nav", "menu", "footer", "sidebar", "comments", "banner", "popup", "navbar")
 CHROME_STARTS = ("advert", "cookie", "sidebar", "sponsor", "breadcrumb", "newsletter")
 #: These are chrome outside an article only; an article's header holds its headline.
-OUTER_NAMES = {"header", "site"}
+OUTER_NAMES = {"header"}
+#: A header of these holds a headline, a sidebar after these is part of a layout's name, and topics are not roles.
+HEADED = {"entry", "post", "article", "story", "content"}
+LAYOUTS = {"content", "layout", "page", "template", "columns", "column", "col", "main"}
+TOPICS = {"category", "tag", "term", "topic", "author", "cat"}
+SIDEBARS = {"sidebar", "sidebars"}
+#: Words that leave a name's role as it is.
+PLAIN = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "div", "fixed", "form", "global", "group",
+    "header", "icons", "id", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "mobile", "outer", "page", "panel", "post", "primary", "right",
+    "row", "secondary", "section", "site", "slot", "sticky", "text", "title", "top", "unit", "view", "wrap", "wrapper", "zone",
+}
+#: Elements whose names are their own slugs, or that hold a page's text.
+NAMELESS = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: Opening one of these ends an open paragraph.
 ENDS_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -87,31 +100,64 @@ ENDS_P = {
 }
 
 
-def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in CHROME_TAGS or tag == "header" and not inside:
+def _named(word: str) -> bool:
+    return word in CHROME_NAMES or word.endswith(CHROME_ENDS) or word.startswith(CHROME_STARTS)
+
+
+def _is_role(token: str, whole: bool, inside: bool) -> bool:
+    """Whether a class or id names a part of a page's chrome: in its first or last telling word, or (whole) in all of them."""
+    for form in {token.lower(), _HUMP.sub(r"\1 \2", token).lower()}:
+        words = _NAME.findall(_ABOUT.sub("", form))
+        if not words or words[0] in TOPICS and len(words) > 1:
+            continue
+        if not inside and words[-1] in OUTER_NAMES and not HEADED & set(words):
+            return True
+        telling = [w for w in words if not w.isdigit() and (w not in PLAIN or _named(w))]
+        if not telling or not (all(map(_named, telling)) if whole else _named(telling[0]) or _named(telling[-1])):
+            continue
+        at = next((i for i, w in enumerate(words) if w in SIDEBARS), 0)
+        if LAYOUTS & set(words[:at]) and not any(_named(w) for w in words if w not in SIDEBARS):
+            continue
         return True
-    if not attributes.strip():
-        return False
+    return False
+
+
+#: How an element is chrome: by its name alone, or by its kind.
+BY_NAME, BY_KIND = 1, 2
+
+
+def _is_chrome(tag: str, attributes: str, inside: bool) -> int:
+    if tag in CHROME_TAGS or tag == "header" and not inside:
+        return BY_KIND
+    found = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = {w for v in (value, _HUMP.sub(r"\1 \2", value)) for w in _NAME.findall(_ABOUT.sub("", v.lower()))}
-            named = words & CHROME_NAMES or any(w.endswith(CHROME_ENDS) or w.startswith(CHROME_STARTS) for w in words)
-            if named and tag not in ("html", "body", "main") or words & OUTER_NAMES and not inside and tag not in ("html", "body", "main", "article"):
-                return True
+            if not found and tag not in NAMELESS and any(_is_role(v, name == "id", inside) for v in value.split()):
+                found = BY_NAME
         elif name == "role" and value.strip().lower() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return BY_KIND
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-            return True
-    return False
+            return BY_KIND
+    return found
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(role, text) of every non-empty block of a page, in order; chrome is left out."""
-    html = html or ""
+    """(role, text) of every non-empty block of a page, in order; chrome is left out.
+
+    An element that is chrome by its name alone is none when all articles of the page are inside such elements
+    and it holds one of them.
+    """
+    found, around = _blocks(html or "", frozenset())
+    return _blocks(html or "", around)[0] if around else found
+
+
+def _blocks(html: str, exempt: frozenset[int]) -> tuple[list[tuple[int, str]], frozenset[int]]:
+    """The blocks, and the places of the elements to exempt; names do not count for elements at ``exempt``."""
     found: list[tuple[int, str]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it or one around it is chrome, is an article
+    open_: list[tuple[str, int, bool, int]] = []  # element, how it or one around it is chrome, is an article, its place if named
     held: list[str] = []
+    plain, around = False, set()
 
     def close() -> None:
         if held:
@@ -179,16 +225,22 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
                 elif tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
                     if open_ and open_[-1][0] == tag:
                         leave(len(open_) - 1)
-            above = open_[-1] if open_ else ("", False, False)
+            above = open_[-1] if open_ else ("", 0, False, 0)
             inside = above[2] or tag in ("article", "main")
-            chrome = above[1] or _is_chrome(tag, attributes, above[2])
+            own = _is_chrome(tag, attributes, above[2])
+            own = 0 if own == BY_NAME and at in exempt else own
+            chrome = max(above[1], own)
+            if tag in ("article", "main") and chrome == 0:
+                plain = True
+            elif tag in ("article", "main") and chrome == BY_NAME:
+                around.update(e[3] for e in open_ if e[3])
             if tag in INLINE and chrome == above[1]:
                 continue  # inline elements matter only where they hide their text
             if attributes.rstrip().endswith("/") and tag in INLINE:
                 continue
-            open_.append((tag, chrome, inside))
+            open_.append((tag, chrome, inside, at if own == BY_NAME else 0))
     close()
-    return found
+    return found, frozenset() if plain else frozenset(around)
 
 
 def _key(tokens: list[str]) -> int:

@@ -339,6 +339,25 @@ def test_html_names_of_containers():
     assert html_text.unique_text(html_text.blocks(page), set()) == "kept\n\ntext"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div id="page" class="site"><article><p>kept</p></article></div>',
+        '<div id="page" class="site hfeed"><div class="entry"><p>kept</p></div><div class="site-footer">end</div></div>',
+        '<div class="content-sidebar-wrap"><p>kept</p></div><div class="sidebar">s</div><div class="sidebar-content">s</div>',
+        '<div class="layout-sidebar"><p>kept</p><div id="left-sidebar">s</div></div>',
+        '<article class="post category-social tag-newsletter"><p>kept</p><div class="social-share">s</div></article>',
+        '<div class="post category-social tag-newsletter"><p>kept</p></div>',
+        '<div class="banner"><div class="promo"><main><p>kept</p></main></div></div><div class="related-stories">r</div>',
+        '<article><h2 id="cookie-recipe">kept</h2><section id="comments"><article>c</article></section></article>',
+        '<div class="entry-header"><h1>kept</h1></div><div class="page-header">h</div><div id="cookie-notice">c</div>',
+        '<section id="share-prices-fall"><p>kept</p></section><div class="acme-nav">n</div><div id="div-comment-12">c</div>',
+    ],
+)
+def test_html_names_of_roles(page):
+    assert html_text.unique_text(html_text.blocks(page), set()) == "kept"
+
+
 AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, k string, h long, score string, n_words string, value string, fp string, size string"
 
 
