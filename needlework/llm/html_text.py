@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -252,16 +252,10 @@ def _windows(tokens: list[str]) -> list[int]:
     return [_key(tokens[i : i + DEPTH]) for i in range(max(1, len(tokens) - DEPTH + 1))]
 
 
-def _candidates(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """The article's blocks where there is one, else the others."""
-    article = [b for b in found if b[0] == ARTICLE]
-    return article or found
-
-
 def suffixes(found: list[tuple[int, str]]) -> set[tuple[int, int]]:
-    """(role, key) of the suffixes of a page's candidate blocks, to DEPTH tokens."""
+    """(role, key) of the suffixes of a page's blocks, to DEPTH tokens."""
     keys = set()
-    for role, text in _candidates(found):
+    for role, text in found:
         tokens = text.split(" ")
         if role == ARTICLE or len(tokens) <= DEPTH:
             keys.add((role, _key(tokens)))
@@ -274,8 +268,8 @@ _FACTORS, _TERMS = np.random.default_rng(42).integers(1, 2**63, (2, SKETCH, 1),
 
 
 def content(found: list[tuple[int, str]]) -> tuple[int, list[int]]:
-    """A hash of a page's candidate blocks, and the sketch of their token windows."""
-    texts = [text for _, text in _candidates(found)]
+    """A hash of a page's blocks, and the sketch of their token windows."""
+    texts = [text for _, text in found]
     windows = np.array([k + 2**63 for k in {k for text in texts for k in _windows(text.split(" "))}], np.uint64)
     lows = np.full((SKETCH, 1), 2**64 - 1, np.uint64)
     for at in range(0, len(windows), 1 << 14):
@@ -283,25 +277,25 @@ def content(found: list[tuple[int, str]]) -> tuple[int, list[int]]:
     return _key(texts), (lows[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
-def unique_text(found: list[tuple[int, str]], repeated: set[int]) -> str:
-    """The candidate blocks without what ``repeated`` keys cover, joined by two line feeds."""
-    candidates = _candidates(found)
-    if repeated:
+def unique_text(found: list[tuple[int, str]], repeated: Set[int], common: Set[int] = frozenset()) -> str:
+    """The blocks without what the keys cover (``repeated``: outside an article, ``common``: inside), joined by two line feeds."""
+    if repeated or common:
         kept = []
-        for role, text in candidates:
+        for role, text in found:
             tokens = text.split(" ")
+            keys = common if role == ARTICLE else repeated
             if role == ARTICLE or len(tokens) <= DEPTH:
-                left = [] if _key(tokens) in repeated else tokens
+                left = [] if _key(tokens) in keys else tokens
             else:
                 covered = [False] * len(tokens)
                 for i in range(len(tokens) - DEPTH + 1):
-                    if _key(tokens[i : i + DEPTH]) in repeated:
+                    if _key(tokens[i : i + DEPTH]) in keys:
                         covered[i : i + DEPTH] = [True] * DEPTH
                 left = [t for t, c in zip(tokens, covered, strict=True) if not c]
             if left:
                 kept.append((role, " ".join(left)))
-        candidates = kept or candidates  # nothing unique: the page is a copy
-    return "\n\n".join(text for _, text in candidates)
+        found = kept or found  # nothing unique: the page is a copy
+    return "\n\n".join(text for _, text in found)
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -369,15 +363,15 @@ def extract(pages: DataFrame) -> DataFrame:
     common = runs.where((F.col("role") == ARTICLE) & (F.col("n") >= COMMON_PAGES)).join(sizes, "host").where(F.col("n") > COMMON_SHARE * F.col("pages"))
     repeated = runs.where(F.col("role") == OTHER).select(*keys).union(common.select(*keys))
     losing = stage(
-        sorted_.join(repeated, keys).groupBy("uid").agg(F.collect_set("key").alias("repeated")), "html-repeated"
+        sorted_.join(repeated, keys).groupBy("uid").agg(F.collect_set(F.when(F.col("role") == OTHER, F.col("key"))).alias("repeated"), F.collect_set(F.when(F.col("role") == ARTICLE, F.col("key"))).alias("common")), "html-repeated"
     )
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [unique_text(blocks(html), set(keys or ())) for html, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out = [unique_text(blocks(html), set(repeated or ()), set(common or ())) for html, repeated, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    met = rows.join(losing, "uid", "left").select("page_id", "url", "html", "repeated")
+    met = rows.join(losing, "uid", "left").select("page_id", "url", "html", "repeated", "common")
     return met.mapInArrow(text, "page_id long, url string, text string, n_chars long")

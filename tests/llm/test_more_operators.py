@@ -84,6 +84,12 @@ def test_html_copies_weigh_one(spark):
     assert got[105].startswith(words("p", 60)) and got[200].startswith(words("p", 60))
 
 
+def test_html_text_beside_an_article(spark):
+    page = lambda i: f"<p>Skip to the content</p><h1>Head {i}</h1><div class=entry><p>{words(f'w{i}x')}</p></div><article><p>card {i}</p></article>"
+    got = texts_of(spark, [(i, f"http://h.example/{i}", page(i)) for i in range(3)])
+    assert got == {i: f"Head {i}\n\n{words(f'w{i}x')}\n\ncard {i}" for i in range(3)}
+
+
 # URL filters
 
 
