@@ -1,23 +1,23 @@
-"""Main text of pages: structural roles, and a suffix array over a host's token streams.
+"""Main text of pages: structural roles, and the repeated token suffixes of a host.
 
 A page is cut into blocks, each with the role its elements give it: chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), article (inside ``article`` or ``main``) or other.  Chrome
-goes.  What is left is judged against the other pages of the host by its suffixes: every suffix of a
-block is sorted by host and its first ``DEPTH`` tokens (all of a shorter one), the depth up to which a
-boilerplate needs order; suffixes that agree there sit together, and a run that spans distinct pages is
-a repeated substring.  Longer repeats are covered by the suffixes that follow.
+goes.  What is left is judged against the other pages of the host by its suffixes: a block's suffixes are
+taken to their first ``DEPTH`` tokens (all of a shorter block), the depth up to which boilerplate needs
+order; suffixes that agree there meet, and a run that spans distinct pages is a repeated substring.
+Longer repeats are covered by the suffixes that follow.
 
-Blocks outside an article lose the tokens that such runs cover; what is unique stays.  A block of an
-article has one suffix, its whole self, and goes only when over half of the host's pages (five at
-least) carry it: articles may share passages, and those belong to the text.  A page of which nothing
-unique would remain is a copy, and keeps its blocks.
+Blocks outside an article lose the tokens that repeated runs cover; what is unique stays.  Blocks of an
+article lose the tokens of runs that over half of the host's pages (five at least) carry: articles may
+share passages, and those belong to the text.  A page of which nothing unique would remain is a copy, and
+keeps its blocks.
 
 Pages of a host whose text is equal, or that share most of it, are one group and count once: a group
 is judged by one page.  Equal texts meet by a hash; near copies by bands of a min-hash sketch of the
 token windows, each held against the first page of its band, so a group of G pages costs G rows.
 
-The suffixes of a host are spread by their tokens, so no task holds a host; runs are counted by
-pre-aggregation.  Only pages that do lose something need a join.
+The suffixes outside articles are spread by their tokens, those of articles by groups of the host's
+pages, so no task holds a host; runs are counted by pre-aggregation.
 
 Defined results: null or empty html gives the empty text; a null url is the host ''; repeated rows give
 the same text and count as one page; an empty table gives an empty result; other columns are ignored.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Set
 
 import numpy as np
@@ -41,6 +42,8 @@ from needlework.llm.url_filter import host_and_path
 DEPTH = 8
 COMMON_PAGES = 5
 COMMON_SHARE = 0.5
+#: Pages of a host that look for common article runs together.
+GROUP = 64
 #: Places of a page's sketch, those of a band, and how many must agree for near copies: 0.55 of the windows in either.
 SKETCH, BAND = 64, 4
 AGREE = 36
@@ -252,16 +255,9 @@ def _windows(tokens: list[str]) -> list[int]:
     return [_key(tokens[i : i + DEPTH]) for i in range(max(1, len(tokens) - DEPTH + 1))]
 
 
-def suffixes(found: list[tuple[int, str]]) -> set[tuple[int, int]]:
-    """(role, key) of the suffixes of a page's blocks, to DEPTH tokens."""
-    keys = set()
-    for role, text in found:
-        tokens = text.split(" ")
-        if role == ARTICLE or len(tokens) <= DEPTH:
-            keys.add((role, _key(tokens)))
-        else:
-            keys.update((role, _key(tokens[i : i + DEPTH])) for i in range(len(tokens) - DEPTH + 1))
-    return keys
+def suffixes(found: list[tuple[int, str]], role: int) -> set[int]:
+    """The keys of the suffixes of a page's blocks of one role, to DEPTH tokens."""
+    return {k for r, text in found if r == role for k in _windows(text.split(" "))}
 
 
 _FACTORS, _TERMS = np.random.default_rng(42).integers(1, 2**63, (2, SKETCH, 1), dtype=np.uint64) | np.uint64(1)
@@ -284,7 +280,7 @@ def unique_text(found: list[tuple[int, str]], repeated: Set[int], common: Set[in
         for role, text in found:
             tokens = text.split(" ")
             keys = common if role == ARTICLE else repeated
-            if role == ARTICLE or len(tokens) <= DEPTH:
+            if not keys or len(tokens) <= DEPTH:
                 left = [] if _key(tokens) in keys else tokens
             else:
                 covered = [False] * len(tokens)
@@ -298,12 +294,12 @@ def unique_text(found: list[tuple[int, str]], repeated: Set[int], common: Set[in
     return "\n\n".join(text for _, text in found)
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """(uid): the pages of (uid, host, html) that another page of the host stands for, as copies or near copies."""
+def index(rows: DataFrame) -> DataFrame:
+    """(uid, host, content, sketch, keys) of the pages of (uid, host, html) that have text; keys are those outside articles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, own, hashes, sketches = [], [], [], []
+            uid, own, hashes, sketches, keys = [], [], [], [], []
             for u, h, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = blocks(html)
                 if found:
@@ -312,11 +308,16 @@ def copies(rows: DataFrame) -> DataFrame:
                     own.append(h)
                     hashes.append(hashed)
                     sketches.append(lows)
-            yield pa.record_batch(
-                [pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["uid", "host", "content", "sketch"]
-            )
+                    keys.append(sorted(suffixes(found, OTHER)))
+            columns = [pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["uid", "host", "content", "sketch", "keys"])
+
+    return stage(rows.mapInArrow(sketch, "uid long, host string, content long, sketch array<int>, keys array<long>"), "html-suffixes")
 
-    sketched = stage(rows.mapInArrow(sketch, "uid long, host string, content long, sketch array<int>"), "html-sketches")
+
+def copies(indexed: DataFrame) -> DataFrame:
+    """(uid): the pages that another page of the host stands for, as copies or near copies."""
+    sketched = indexed.select("uid", "host", "content", "sketch")
     own = sketched.groupBy("host", "content").agg(F.min("uid").alias("first"))
     same = sketched.join(own, ["host", "content"]).where("uid <> first").select("uid")
     firsts = stage(sketched.join(own.select(F.col("first").alias("uid")), "uid").dropDuplicates(["uid"]), "html-firsts")
@@ -334,44 +335,78 @@ def copies(rows: DataFrame) -> DataFrame:
     return stage(same.distinct(), "html-copies")
 
 
+def common_runs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, common): the keys of the article suffixes that over COMMON_SHARE of a host's pages (COMMON_PAGES at least) carry.
+
+    ``rows`` (uid, host, html) has one page for each group, ``sizes`` (host, pages) counts them.  The pages of
+    a host are dealt into groups of about GROUP.  A run on over a share of all pages is on over that share in
+    some group, so what groups find locally holds every such run; a second pass counts those exactly.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen, counts = None, set(), Counter()
+
+        def frequent() -> pa.RecordBatch:
+            keys = [k for k, n in counts.items() if n > COMMON_SHARE * len(seen)]
+            return pa.record_batch([pa.array([group[0]] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
+
+        for batch in batches:
+            for u, h, part, html in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (h, part) != group:
+                    if counts:
+                        yield frequent()
+                    group, seen, counts = (h, part), set(), Counter()
+                if u not in seen and (found := blocks(html)):
+                    seen.add(u)
+                    counts.update(suffixes(found, ARTICLE))
+        if counts:
+            yield frequent()
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, own, key = [], [], []
+            for u, h, html, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                found = suffixes(blocks(html), ARTICLE).intersection(keys)
+                uid += [u] * len(found)
+                own += [h] * len(found)
+                key += found
+            yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(key, pa.int64())], names=["uid", "host", "key"])
+
+    large = sizes.where(F.col("pages") >= COMMON_PAGES)
+    part = F.pmod("uid", F.ceil(F.col("pages") / GROUP)).alias("part")
+    dealt = rows.join(large, "host").select("uid", "host", part, "html").repartition("host", "part").sortWithinPartitions("host", "part")
+    maybe = stage(dealt.mapInArrow(local, "host string, key long").distinct().groupBy("host").agg(F.collect_list("key").alias("keys")), "html-maybe")
+    counted = rows.join(maybe, "host").select("uid", "host", "html", "keys").mapInArrow(carried, "uid long, host string, key long").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    common = counted.join(large, "host").where((F.col("n") >= COMMON_PAGES) & (F.col("n") > COMMON_SHARE * F.col("pages")))
+    return stage(common.groupBy("host").agg(F.collect_list("key").alias("common")), "html-common")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host, _ = host_and_path(F.col("url"))
     rows = only(pages, page_id="long", url="string", html="string").select(
         "page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("uid"), F.coalesce(host, F.lit("")).alias("host")
     )
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, own, role, key = [], [], [], []
-            for u, h, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = suffixes(blocks(html))
-                uid += [u] * len(found)
-                own += [h] * len(found)
-                role += [r for r, _ in found]
-                key += [k for _, k in found]
-            yield pa.record_batch(
-                [pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(role, pa.int32()), pa.array(key, pa.int64())], names=["uid", "host", "role", "key"]
-            )
-
-    sorted_ = stage(rows.select("uid", "host", "html").mapInArrow(index, "uid long, host string, role int, key long"), "html-suffixes")
+    indexed = index(rows.select("uid", "host", "html"))
+    gone = copies(indexed)
+    sorted_ = indexed.select("uid", "host", F.explode("keys").alias("key"))
     # one page stands for its copies; repeated rows have one uid
-    judged = sorted_.join(copies(rows.select("uid", "host", "html")), "uid", "left_anti")
-    sizes = judged.select("host", "uid").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    runs = judged.distinct().groupBy("host", "role", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = ["host", "role", "key"]
-    common = runs.where((F.col("role") == ARTICLE) & (F.col("n") >= COMMON_PAGES)).join(sizes, "host").where(F.col("n") > COMMON_SHARE * F.col("pages"))
-    repeated = runs.where(F.col("role") == OTHER).select(*keys).union(common.select(*keys))
-    losing = stage(
-        sorted_.join(repeated, keys).groupBy("uid").agg(F.collect_set(F.when(F.col("role") == OTHER, F.col("key"))).alias("repeated"), F.collect_set(F.when(F.col("role") == ARTICLE, F.col("key"))).alias("common")), "html-repeated"
-    )
+    runs = sorted_.join(gone, "uid", "left_anti").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
+    losing = stage(sorted_.join(runs.select("host", "key"), ["host", "key"]).groupBy("uid").agg(F.collect_set("key").alias("repeated")), "html-repeated")
+    sizes = stage(indexed.select("uid", "host").distinct().join(gone, "uid", "left_anti").groupBy("host").agg(F.count("*").alias("pages")), "html-sizes")
+    common = common_runs(rows.select("uid", "host", "html").join(gone, "uid", "left_anti"), sizes)
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [unique_text(blocks(html), set(repeated or ()), set(common or ())) for html, repeated, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            each = zip(*(batch.column(i).to_pylist() for i in (2, 3)), batch.column(4), strict=True)
+            held, out = (None, frozenset()), []
+            for html, repeated, keys in each:
+                keys = keys.as_py()
+                held = held if keys == held[0] else (keys, frozenset(keys or ()))
+                out.append(unique_text(blocks(html), set(repeated or ()), held[1]))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    met = rows.join(losing, "uid", "left").select("page_id", "url", "html", "repeated", "common")
+    met = rows.join(losing, "uid", "left").join(common, "host", "left").select("page_id", "url", "html", "repeated", "common")
     return met.mapInArrow(text, "page_id long, url string, text string, n_chars long")

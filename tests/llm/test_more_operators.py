@@ -90,6 +90,15 @@ def test_html_text_beside_an_article(spark):
     assert got == {i: f"Head {i}\n\n{words(f'w{i}x')}\n\ncard {i}" for i in range(3)}
 
 
+@pytest.mark.parametrize("group", [64, 4])
+def test_html_common_runs_inside_paragraphs(spark, monkeypatch, group):
+    monkeypatch.setattr(html_text, "GROUP", group)
+    sign_up, quoted = words("sign", 9), words("quote", 12)
+    rows = [(i, f"http://h.example/{i}", article(words(f"w{i}x", 30) + (" " + sign_up if i < 11 else ""), f"{words(f'v{i}x', 30)} {quoted if i < 10 else ''}")) for i in range(20)]
+    got = texts_of(spark, rows)
+    assert got == {i: f"{words(f'w{i}x', 30)}\n\n{words(f'v{i}x', 30)}{' ' + quoted if i < 10 else ''}" for i in range(20)}
+
+
 # URL filters
 
 
