@@ -123,33 +123,86 @@ def longest(hays: DataFrame, min_len: int = 4) -> DataFrame:
     return hays.select(F.col("hay_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "hay_id long, len long")
 
 
+def _intervals(common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, size, length, parent length) of every LCP interval: the suffixes at first..first+size-1 share length characters."""
+    first, size, length, parent = [], [], [], []
+    open_: list[tuple[int, int]] = []  # length, first
+    for at, now in enumerate([*common[1:].tolist(), 0], 1):
+        begin = at - 1
+        while open_ and open_[-1][0] > now:
+            most, begin = open_.pop()
+            first.append(begin)
+            size.append(at - begin)
+            length.append(most)
+            parent.append(max(now, open_[-1][0] if open_ else 0))
+        if now and (not open_ or open_[-1][0] < now):
+            open_.append((now, begin))
+    return tuple(np.array(x, np.int64) for x in (first, size, length, parent))
+
+
 def find_repeats(data: bytes, options: Options) -> list[tuple[int, int, int, int, bytes]]:
     """(off, len, count, est_lin, sub) of one haystack's best repeats, by suffix order over its bytes.
 
-    Every pair of neighbouring suffixes with a common prefix of min_len or more gives a candidate (cut at
-    max_len, half the haystack at most).  The most promising by length and neighbours are counted exactly.
+    Every LCP interval stands for the substrings between its parent's length and its own, which occur at the
+    same places.  Its candidates are the longest that max_len and half the haystack allow, the shortest, and
+    those between at which more copies begin to overlap or the marker grows.  Candidates are taken in
+    the order of the best est_lin their places allow, and counted exactly until no other can be among the top_k.
+    The last of several places goes to the longest repeat if est_lin leaves it out.
     """
     n = len(data)
-    if n < 2 * options.min_len:
+    if n < 2 * options.min_len or options.top_k < 1:
         return []
     most = min(options.max_len, n // 2)
     order, common = _suffixes(np.frombuffer(data, np.uint8))
-    seen: dict[bytes, int] = {}
-    for at in np.argsort(-common, kind="stable")[: 64 * options.top_k + 256]:
-        length = min(int(common[at]), most)
-        if length < options.min_len:
-            break
-        sub = data[order[at] : order[at] + length]
-        for cut in {length, *[k for k in (options.min_len, 8, 16, 32, 64, 128) if options.min_len <= k < length]}:
-            seen.setdefault(sub[:cut], cut)
-    out = []
-    for sub in seen:
+    first, size, length, parent = _intervals(common)
+    length = np.minimum(length, most)
+    least = np.maximum(parent + 1, max(1, options.min_len))
+    held = (length >= least) & (size >= options.min_count)
+    first, size, length, least = first[held], size[held], length[held], least[held]
+
+    def estimate(sub_len, count):
+        marker = options.base or 4 + 2 * (sub_len >= 10) + (sub_len >= 100)
+        return max(-(2**31 - 1), min(2**31 - 1, sub_len + n - count * (sub_len - marker)))
+
+    def saved(fit: np.ndarray) -> np.ndarray:
+        """The most that copies of each length save if all places count."""
+        marker = np.full(len(fit), options.base) if options.base else 4 + 2 * (fit >= 10) + (fit >= 100)
+        return np.where(fit > marker, size, options.min_count) * (fit - marker) - fit
+
+    # at a given marker more saves more, up to what the haystack holds without overlap
+    steps = [np.clip(x, least, length) for x in (9, 99)]
+    whole = n - options.min_count * (options.base or 4) - least
+    bound = np.clip(n - np.minimum(np.max([saved(fit) for fit in (length, *steps)], axis=0), whole), -(2**31 - 1), 2**31 - 1)
+    longest = None
+    for at in np.argsort(-length, kind="stable") if options.top_k > 1 else []:
+        places, fit = order[first[at] : first[at] + size[at]], int(length[at])
+        if places.max() - places.min() < fit * (options.min_count - 1):
+            continue
+        begin = int(places.min())
+        sub = data[begin : begin + fit]
         count = data.count(sub)
         if count >= options.min_count:
-            marker = options.base or 4 + 2 * (len(sub) >= 10) + (len(sub) >= 100)
-            est = max(-(2**31 - 1), min(2**31 - 1, len(sub) + n - count * (len(sub) - marker)))
-            out.append((data.find(sub), len(sub), count, est, sub))
-    return sorted(out, key=lambda r: (r[3], -r[1], -r[2], r[4]))[: options.top_k]
+            longest = (begin, fit, count, estimate(fit, count), sub)
+            break
+    best: list[tuple[int, int, int, int, bytes]] = []
+    rows: dict[bytes, tuple[int, int, int, int, bytes]] = {}
+    rank = lambda r: (r[3], -r[1], -r[2], r[4])
+    for at in np.argsort(bound, kind="stable"):
+        if len(best) == options.top_k and bound[at] > best[-1][3]:
+            break
+        places = np.sort(order[first[at] : first[at] + size[at]])
+        gaps = np.diff(places)
+        gap, low, high = int(gaps.min()), int(least[at]), int(length[at])
+        for fit in {high, low, *(f for f in (9, 99, *np.unique(gaps[gaps < high]).tolist()) if low <= f < high)}:
+            begin = int(places[0])
+            sub = data[begin : begin + fit]
+            count = data.count(sub) if gap < fit else len(places)
+            if count >= options.min_count and sub not in rows:
+                rows[sub] = (begin, fit, count, estimate(fit, count), sub)
+                best = sorted([*best, rows[sub]], key=rank)[: options.top_k]
+    if longest and all(longest[1] > r[1] for r in best):
+        best = sorted([*best[: options.top_k - 1], longest], key=rank)
+    return best
 
 
 def repeats(hays: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008

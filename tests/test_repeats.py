@@ -42,6 +42,27 @@ def test_budgeted_repeats(case):
     assert any(r[1] >= 1024 for r in found) or case != 3
 
 
+def test_budgeted_repeats_see_past_a_long_passage():
+    rnd = random.Random(9)
+    line, passage = (bytes(rnd.choices(range(97, 123), k=k)) for k in (60, 1900))
+    data = passage + b"".join(line + bytes(rnd.choices(range(128, 256), k=7)) for _ in range(100)) + passage
+    found = find_repeats(data, Options())
+    assert found[0][2:] == (100, 60 + len(data) - 100 * (60 - 6), line)
+
+
+def test_budgeted_repeats_miss_no_interval():
+    rnd = random.Random(10)
+    for _ in range(300):
+        data = bytes(rnd.choices(b"abc", k=rnd.randint(8, 60))) * rnd.choice([1, 1, 2, 3, 7])
+        options = Options(rnd.choice([2, 4]), rnd.choice([6, 256]), 2, 5)
+        top = min(options.max_len, len(data) // 2)
+        subs = {data[i : i + k] for k in range(options.min_len, top + 1) for i in range(len(data) - k + 1)}
+        est = lambda s: len(s) + len(data) - data.count(s) * (len(s) - (4 + 2 * (len(s) >= 10) + (len(s) >= 100)))
+        want = min((est(s) for s in subs if data.count(s) >= 2), default=None)
+        found = find_repeats(data, options)
+        assert (found[0][3] if found else None) == want, (data, options)
+
+
 def test_budgeted_repeats_of_little(spark):
     assert find_repeats(b"", Options()) == [] == find_repeats(b"abc", Options()) == find_repeats(bytes(range(200)), Options())
     rows = repeats.repeats(frame(spark, ["abcabcabcabc xy", None, "", "abcabcabcabc xy"]), Options(3, 16, 2, 4)).collect()
