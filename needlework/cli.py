@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, reque
         else:
             out.write(files.count_words([counts.get(t, 0) for t in tokens]))
     else:
-        raw = files.read_files(spark, args.file).select(F.lit(0).alias("hay_id"), F.decode("bytes", "UTF-8").alias("text"))
+        raw = files.read_files(spark, args.file).select(F.lit(0).alias("hay_id"), F.col("bytes").alias("text"))  # bytes as they are
         found = repeats(raw, Options(args.min_len, args.max_len, 2, min(64, args.top_k)))
         for (line,) in files.repeats_lines(found.orderBy("est_lin", F.desc("len"), F.desc("n"), "sub")).collect():  # at most 64 rows
             out.write(f"{line}\n".encode())

@@ -87,6 +87,11 @@ def find_all(hay: Column | str, needle: Column | str, overlap: bool = False, cap
 _LEAD = "\ue000"
 
 
+def content_hash(value: Column | str) -> Column:
+    """A 64-bit hash of a text or of bytes.  Equal hashes are a hint: compare the contents before acting on it."""
+    return F.xxhash64(_col(value))
+
+
 def should_use(n: Column | str, kind: str) -> Column:
     """Advice by length of haystack: search and repeats pay from 64 on; batches always."""
     return (F.lit(True) if kind not in ("find", "repeats") else _col(n) >= 64).cast("int")

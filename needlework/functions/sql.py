@@ -43,7 +43,7 @@ def positions(hay: Column | str, needle: Column | str, overlap: bool = False, ca
 
 
 def repeats_map(hays: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """(hay_id, repeats): a map from substring to count; null for haystacks under 64 characters or without repeats."""
+    """(hay_id, repeats): a map from substring to count; null for haystacks under 64 bytes or without repeats."""
     held = Options(options.min_len, options.max_len, max(2, options.min_count), max(1, min(64, options.top_k)), options.base)
-    found = repeats(hays.where(F.length("text") >= 64), held).groupBy("hay_id").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("sub"), "n"))).alias("repeats"))
+    found = repeats(hays.where(F.octet_length("text") >= 64), held).groupBy("hay_id").agg(F.map_from_entries(F.collect_list(F.struct(F.hex("sub"), "n"))).alias("repeats"))
     return hays.select("hay_id").join(found, "hay_id", "left")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from needlework.plans.layout import spread
+
 # fixed values: the seed and steps that make the gear table, the bounds and the mask of a chunk
 SEED = 0x9E3779B97F4A7C15
 MIX_1 = 0xBF58476D1CE4E5B9
@@ -74,7 +76,7 @@ def chunks(hays: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
                     names=["hay_id", "seq", "off", "chunk"],
                 )
 
-    return hays.select(F.col("hay_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "hay_id long, seq int, off long, chunk binary")
+    return spread(hays.select(F.col("hay_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "hay_id long, seq int, off long, chunk binary")
 
 
 def fixed_chunks(hays: DataFrame, size: int) -> DataFrame:
@@ -126,7 +128,7 @@ def chunk_table(parts: DataFrame) -> DataFrame:
 
 
 def object_table(parts: DataFrame) -> DataFrame:
-    """(hay_id, chunks, bytes, digest): each content's number of chunks, length and content hash."""
+    """(hay_id, chunks, bytes, digest): each content's number of chunks, length, and a digest of its chunks' digests in order."""
     size = F.octet_length("chunk")
-    own = parts.groupBy("hay_id").agg(F.count("*").alias("chunks"), F.sum(size).alias("bytes"))
-    return own.join(assemble(parts).select("hay_id", F.xxhash64("bytes").alias("digest")), "hay_id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.md5("chunk").alias("own")))), lambda s: s["own"]), "")
+    return parts.groupBy("hay_id").agg(F.count("*").alias("chunks"), F.sum(size).cast("long").alias("bytes"), F.md5(listed).alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needlework.functions.search import _LEAD, quoted
+from needlework.plans.layout import spread
 
 
 def find_all_rows(hays: DataFrame, needles: list[str], overlap: bool = False, cap: int | None = None) -> DataFrame:
@@ -15,7 +16,7 @@ def find_all_rows(hays: DataFrame, needles: list[str], overlap: bool = False, ca
     needle has none; rows that share a hay_id are told apart.
     """
     stated = [n for n in dict.fromkeys(needles) if n]
-    rows = hays.where("text is not null").select(F.col("hay_id"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = spread(hays.where("text is not null").select("hay_id", "text")).select("hay_id", "text", F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("needle", F.explode(F.array(*map(F.lit, stated)) if stated else F.expr("cast(array() as array<string>)")))
     rows = rows.where(F.contains("text", "needle"))
     n = F.col("needle")

@@ -1,46 +1,93 @@
-"""Byte profiles of haystacks: presence, histogram, entropy, label, and filters made of them.
+"""Byte profiles of haystacks: presence, histogram, entropy, label, block grams, and filters made of them.
 
-Texts are judged as UTF-8 bytes.  The histogram covers the first ``SAMPLE`` bytes, presence all of them.
+``build`` makes a profile of every haystack in one pass over its bytes, a row each, to be kept and joined.
+Texts are judged as UTF-8 bytes; a binary ``text`` as it is.  The histogram covers the first ``SAMPLE``
+bytes, presence all of them.  The budget says how much a profile holds: 0 presence, 1 histogram, entropy
+and label too, 2 also the grams of its blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needlework.functions import search
+from needlework.plans.layout import spread
 
 SAMPLE = 131_072
 BLOCK = 8192
+#: Haystacks from so many bytes on have block grams.
+GRAMS_FROM = 4096
 #: Entropy (bits a byte) up to which a haystack is labelled high, mixed; beyond, low.
 HIGH, MIXED = 3.5, 5.5
 
+SCHEMA = "hay_id long, n long, presence array<int>, hist array<long>, entropy double, grams array<struct<block: int, grams: array<int>>>"
+_GRAMS = pa.list_(pa.struct([("block", pa.int32()), ("grams", pa.list_(pa.int32()))]))
+
+
+def _entropy(hist: np.ndarray) -> float:
+    """Bits a byte; 0 of nothing."""
+    own = hist[hist > 0]
+    n = int(own.sum())
+    return abs(float(np.log2(n) - (own * np.log2(own)).sum() / n)) if n else 0.0
+
+
+def _block_grams(data: np.ndarray, size: int) -> list[dict]:
+    """The distinct grams of three bytes that begin in each block; those at a block's end reach into the next."""
+    wide = data.astype(np.int32)
+    grams = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    return [{"block": k, "grams": np.unique(grams[at : at + size]).tolist()} for k, at in enumerate(range(0, len(data), size))]
+
+
+def _bytes(value) -> np.ndarray:
+    return np.frombuffer(value if isinstance(value, bytes) else value.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def build(hays: DataFrame, budget: int = 1) -> DataFrame:
+    """(hay_id, n, presence, hist, entropy, grams, label) of every haystack; null texts have nulls and the label mixed.
+
+    presence lists the byte values, hist has 256 counts, grams the trigrams (as numbers) of each block of BLOCK
+    bytes where the haystack has GRAMS_FROM bytes.  What the budget leaves out is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, presence, hist, entropy, grams = [], [], [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                data = None if text is None else _bytes(text)
+                n.append(None if data is None else len(data))
+                counts = None if data is None else np.bincount(data[:SAMPLE], minlength=256)
+                presence.append(None if data is None else np.flatnonzero(np.bincount(data, minlength=256)).tolist())
+                hist.append(None if data is None or budget < 1 else counts.tolist())
+                entropy.append(None if data is None or budget < 1 else _entropy(counts))
+                grams.append(None if data is None or budget < 2 or len(data) < GRAMS_FROM else _block_grams(data, BLOCK))
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.float64(), _GRAMS)
+            columns = [pa.array(c, k) for c, k in zip((n, presence, hist, entropy, grams), kinds, strict=True)]
+            yield pa.record_batch([batch.column(0), *columns], names=["hay_id", "n", "presence", "hist", "entropy", "grams"])
 
-def byte_rows(hays: DataFrame, sample: int | None = None) -> DataFrame:
-    """(hay_id, byte): a row a byte, in hexadecimal."""
-    digits = F.hex("text") if sample is None else F.substring(F.hex("text"), 1, 2 * sample)
-    return hays.select("hay_id", F.explode(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))).alias("byte"))
+    found = spread(hays.select(F.col("hay_id").cast("long"), "text")).mapInArrow(run, SCHEMA)
+    return found.withColumn("label", label_of(F.col("entropy"), budget))
 
 
 def presence(hays: DataFrame) -> DataFrame:
-    """(hay_id, bytes): the distinct bytes of each haystack, sorted; a projection, no shuffle."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.hex("text"), F.lit("(..)"), F.lit(1))))
-    return hays.select("hay_id", found.alias("bytes"))
+    """(hay_id, bytes): the distinct bytes of each haystack in hexadecimal, sorted; a projection, no shuffle."""
+    return build(hays, 0).select("hay_id", F.transform("presence", lambda b: F.lpad(F.hex(b), 2, "0")).alias("bytes"))
 
 
 def histogram(hays: DataFrame) -> DataFrame:
     """(hay_id, byte, n) over the first SAMPLE bytes."""
-    return byte_rows(hays, SAMPLE).groupBy("hay_id", "byte").agg(F.count("*").alias("n"))
+    rows = build(hays).select("hay_id", F.posexplode("hist").alias("byte", "n")).where("n > 0")
+    return rows.select("hay_id", F.lpad(F.hex("byte"), 2, "0").alias("byte"), "n")
 
 
 def entropy(hays: DataFrame) -> DataFrame:
-    """(hay_id, n, entropy): bits a byte over the first SAMPLE bytes; 0 for an empty haystack."""
-    per = histogram(hays).groupBy("hay_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    met = hays.select("hay_id", F.col("text").isNull().alias("__null")).join(per, "hay_id", "left")
-    value = F.when(F.col("n") > 0, F.log2("n") - F.col("s") / F.col("n")).otherwise(0.0)
-    return met.select(
-        "hay_id", F.when(~F.col("__null"), F.coalesce("n", F.lit(0))).alias("n"), F.when(~F.col("__null"), F.abs(F.round(value, 6))).alias("entropy")
-    )
+    """(hay_id, n, entropy): bits a byte over the first SAMPLE bytes, to six places; 0 for an empty haystack."""
+    return build(hays).select("hay_id", F.when(F.col("n") > SAMPLE, F.lit(SAMPLE).cast("long")).otherwise(F.col("n")).alias("n"), F.abs(F.round("entropy", 6)).alias("entropy"))
 
 
 def label_of(value: Column, budget: int = 1) -> Column:
@@ -51,8 +98,8 @@ def label_of(value: Column, budget: int = 1) -> Column:
 
 
 def label(hays: DataFrame, budget: int = 1) -> DataFrame:
-    """(hay_id, label): an empty haystack has entropy 0 and is high."""
-    return entropy(hays).select("hay_id", label_of(F.col("entropy"), budget).alias("label"))
+    """(hay_id, label) by the entropy itself, not rounded: an empty haystack has entropy 0 and is high."""
+    return build(hays, budget).select("hay_id", "label")
 
 
 def may_contain(hays: DataFrame, needle: str) -> DataFrame:
@@ -61,9 +108,49 @@ def may_contain(hays: DataFrame, needle: str) -> DataFrame:
 
 
 def _may(needle: str) -> Column:
-    wanted = sorted({f"{b:02X}" for b in needle.encode()})
-    own = F.regexp_extract_all(F.hex("text"), F.lit("(..)"), F.lit(1))
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), own)) == 0 if wanted else F.lit(True)
+    found, raw = F.lit(True), F.encode("text", "UTF-8")
+    for b in sorted(set(needle.encode())):  # one native search a distinct byte
+        found = found & (F.contains("text", F.lit(chr(b))) if b < 128 else F.contains(raw, F.lit(bytes([b]))))
+    return found
+
+
+def may_contain_profiled(profiles: DataFrame, needle: str) -> DataFrame:
+    """(hay_id, may) from profiles alone: all bytes present, and where there are block grams all the needle's grams, in whatever blocks."""
+    data = needle.encode()
+    may = F.forall(F.array(*map(F.lit, sorted(set(data)))), lambda b: F.array_contains("presence", b)) if data else F.lit(True)
+    grams = _grams_of(data)
+    if grams:
+        every = F.flatten(F.transform("grams", lambda g: g["grams"]))
+        may = may & F.coalesce(F.size(F.array_except(F.array(*map(F.lit, grams)), every)) == 0, F.lit(True))
+    return profiles.select("hay_id", may.alias("may"))
+
+
+def _grams_of(data: bytes) -> list[int]:
+    return sorted({data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2)})
+
+
+def profiled_blocks(profiles: DataFrame, needle: str, cap: int = 1 << 20) -> DataFrame:
+    """(hay_id, blocks): from profiles of budget 2, the blocks in which the needle may begin, ascending.
+
+    A block survives if it holds the needle's first gram, and it and the next all of them, so needles across a border are met.
+    Null where that says too little: needles under three bytes or over a block, haystacks without block
+    grams, more than ``cap`` survivors, or more than half of the blocks and one.
+    """
+    data = needle.encode()
+    grams = _grams_of(data)
+    if not grams or len(data) > BLOCK:
+        return profiles.select("hay_id", F.lit(None).cast("array<int>").alias("blocks"))
+    wanted, first = F.array(*map(F.lit, grams)), data[0] << 16 | data[1] << 8 | data[2]
+    count = F.size("grams")
+
+    def holds(g: Column, k: Column) -> Column:
+        after = F.when(k + 1 < count, F.element_at("grams", k + 2)["grams"]).otherwise(F.expr("cast(array() as array<int>)"))
+        rest = F.array_except(F.array_except(wanted, g["grams"]), after)
+        return F.when(F.array_contains(g["grams"], first) & (F.size(rest) == 0), g["block"])
+
+    found = F.filter(F.transform("grams", holds), lambda b: b.isNotNull())
+    few = (F.size(found) <= cap) & (F.size(found) <= F.floor(count / 2) + 1)
+    return profiles.select("hay_id", F.when(F.col("grams").isNotNull() & few, found).alias("blocks"))
 
 
 def blocks(hays: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFrame:
@@ -76,12 +163,20 @@ def blocks(hays: DataFrame, size: int = BLOCK, overlap: int = 0) -> DataFrame:
 
 def block_labels(hays: DataFrame, size: int = BLOCK, sample: int = 4096) -> DataFrame:
     """(hay_id, block, label) by the entropy of each block's first ``sample`` bytes."""
-    digits = F.substring(F.hex("bytes"), 1, 2 * sample)
-    rows = blocks(hays, size).select("hay_id", "block", F.explode_outer(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))).alias("byte"))
-    per = rows.groupBy("hay_id", "block", "byte").agg(F.count("byte").alias("n")).groupBy("hay_id", "block")
-    sums = per.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
-    value = F.when(F.col("n") > 0, F.round(F.log2("n") - F.col("s") / F.col("n"), 6)).otherwise(0.0)
-    return sums.select("hay_id", "block", label_of(value).alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places, found = [], [], []
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = _bytes(value.as_py())
+                for k, at in enumerate(range(0, max(1, len(data)), size)):
+                    ids.append(i)
+                    places.append(k)
+                    found.append(_entropy(np.bincount(data[at : at + sample], minlength=256)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.float64())], names=["hay_id", "block", "entropy"])
+
+    rows = hays.where("text is not null").select(F.col("hay_id").cast("long"), "text").mapInArrow(run, "hay_id long, block int, entropy double")
+    return rows.select("hay_id", "block", label_of(F.col("entropy")).alias("label"))
 
 
 def candidate_blocks(hays: DataFrame, needle: str, size: int = BLOCK) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from needlework.functions import search
 from needlework.functions import sql as sql_forms
 from needlework.operators import batch, chunking, listing, profile, repeats, store
+from needlework.plans import staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEEDLES = ("the", "tion", "zzz", "aa", "é")
@@ -140,7 +141,13 @@ _FREQUENCY = f"SELECT needle, count(*) AS docs FROM documents JOIN {WORDS} ON co
 @query(_FREQUENCY)
 def has_batch_frequency(spark, sf_dir):
     """In how many documents each benchmark word occurs."""
-    return batch.has_pairs(_hays(spark, sf_dir), _words(spark, sf_dir)).groupBy("needle").agg(F.count("*").alias("docs"))
+    return batch.totals(_hays(spark, sf_dir), _words(spark, sf_dir)).select("needle", F.col("hays").alias("docs"))
+
+
+@query(f"SELECT needle, count(*) AS hays, CAST(sum((length(text) - length(replace(text, needle, ''))) // length(needle)) AS BIGINT) AS n FROM documents JOIN {WORDS} ON contains(text, needle) GROUP BY needle")
+def count_totals(spark, sf_dir):
+    """In how many documents each benchmark word occurs, and how often, summed inside the scan."""
+    return batch.totals(_hays(spark, sf_dir), _words(spark, sf_dir))
 
 
 @query(f"SELECT doc_id AS hay_id, needle FROM documents JOIN {WORDS} ON contains(text, needle)")
@@ -218,7 +225,7 @@ def profile_entropy(spark, sf_dir):
     return profile.entropy(_hays(spark, sf_dir))
 
 
-@query(f"SELECT hay_id, CASE WHEN entropy <= 3.5 THEN 'high' WHEN entropy <= 5.5 THEN 'mixed' ELSE 'low' END AS label FROM ({_ENTROPY})")
+@query(f"SELECT hay_id, CASE WHEN entropy <= 3.5 THEN 'high' WHEN entropy <= 5.5 THEN 'mixed' ELSE 'low' END AS label FROM ({_ENTROPY.replace('abs(round(log2(n) - s / n, 6))', 'log2(n) - s / n')})")
 def profile_label(spark, sf_dir):
     return profile.label(_hays(spark, sf_dir))
 
@@ -232,13 +239,49 @@ _BLOCKS = "(SELECT page_id AS hay_id, unnest(range(0, (greatest(length(h), 2) -
 
 
 @query(f"""SELECT hay_id, CAST(block AS INTEGER) AS block, CASE WHEN e <= 3.5 THEN 'high' WHEN e <= 5.5 THEN 'mixed' ELSE 'low' END AS label FROM (
-  SELECT hay_id, block, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS e FROM (
+  SELECT hay_id, block, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (
     SELECT hay_id, block, byte, count(*) AS c FROM (SELECT hay_id, block, unnest(regexp_extract_all(substr(h, block * 16384 + 1, 8192), '..')) AS byte FROM {_BLOCKS}) GROUP BY ALL)
   GROUP BY hay_id, block)""")
 def block_entropy_label(spark, sf_dir):
     return profile.block_labels(_hays(spark, sf_dir, "pages", "page_id", "html"))
 
 
+_TRIGRAMS = """(SELECT hay_id, n, CAST(i // 8192 AS INTEGER) AS block, substr(h, 2 * i + 1, 6) AS gram FROM (
+  SELECT hay_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2 - 2)) AS i FROM (SELECT doc_id AS hay_id, hex(encode(text)) AS h FROM documents) WHERE length(h) >= 8192))"""
+
+
+@query(f"""SELECT doc_id AS hay_id, CAST(strlen(text) AS BIGINT) AS n, CAST(coalesce(p.bytes, 0) AS BIGINT) AS bytes, CASE WHEN coalesce(e.entropy, 0) <= 3.5 THEN 'high' WHEN e.entropy <= 5.5 THEN 'mixed' ELSE 'low' END AS label,
+CASE WHEN strlen(text) >= 4096 THEN CAST((strlen(text) + 8191) // 8192 AS INTEGER) END AS blocks, CAST(g.grams AS BIGINT) AS grams
+FROM documents LEFT JOIN (SELECT hay_id, count(DISTINCT byte) AS bytes FROM {_BYTES} GROUP BY hay_id) p ON p.hay_id = doc_id
+LEFT JOIN (SELECT hay_id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM (SELECT hay_id, byte, count(*) AS c FROM {_HISTOGRAM} GROUP BY ALL) GROUP BY hay_id) e ON e.hay_id = doc_id
+LEFT JOIN (SELECT hay_id, count(*) AS grams FROM (SELECT DISTINCT hay_id, block, gram FROM {_TRIGRAMS}) GROUP BY hay_id) g ON g.hay_id = doc_id""")
+def profile_build(spark, sf_dir):
+    """Whole profiles, a row a document."""
+    grams = F.aggregate("grams", F.lit(0).cast("long"), lambda acc, g: acc + F.size(g["grams"]))
+    return profile.build(_hays(spark, sf_dir), 2).select(
+        "hay_id", "n", F.size("presence").cast("long").alias("bytes"), "label", F.when(F.col("grams").isNotNull(), F.size("grams")).alias("blocks"), grams.alias("grams")
+    )
+
+
+@query(f"SELECT hay_id, block, count(DISTINCT gram) AS grams FROM {_TRIGRAMS} GROUP BY ALL")
+def profile_block_grams(spark, sf_dir):
+    rows = profile.build(_hays(spark, sf_dir), 2).select("hay_id", F.explode("grams").alias("g"))
+    return rows.select("hay_id", F.col("g.block").alias("block"), F.size("g.grams").cast("long").alias("grams")).where("grams > 0")
+
+
+_WANTED = [b"ablyt"[i : i + 3].hex().upper() for i in range(3)]
+
+
+@query(f"""SELECT hay_id, string_agg(CAST(block AS VARCHAR), ' ' ORDER BY block) AS blocks FROM (
+  SELECT b.hay_id, b.block, b.blocks FROM (SELECT hay_id, blocks, unnest(range(0, blocks)) AS block FROM (SELECT DISTINCT hay_id, (n + 8191) // 8192 AS blocks FROM {_TRIGRAMS})) b
+  JOIN (SELECT DISTINCT hay_id, block, gram FROM {_TRIGRAMS} WHERE gram IN ({", ".join(f"'{g}'" for g in _WANTED)})) g ON g.hay_id = b.hay_id AND (g.block = b.block OR g.block = b.block + 1)
+  GROUP BY ALL HAVING count(DISTINCT gram) = {len(_WANTED)} AND count(*) FILTER (g.block = b.block AND gram = '{_WANTED[0]}') > 0) GROUP BY hay_id, blocks HAVING count(*) <= blocks // 2 + 1""")
+def profile_candidates(spark, sf_dir):
+    """Blocks in which a needle may begin, from kept profiles alone."""
+    found = profile.profiled_blocks(profile.build(_hays(spark, sf_dir), 2), "ablyt").where(F.size("blocks") > 0)
+    return found.select("hay_id", F.array_join(F.transform("blocks", lambda b: b.cast("string")), " ").alias("blocks"))
+
+
 @query(f"SELECT hay_id, CAST(block AS INTEGER) AS block FROM {_BLOCKS} WHERE contains(substr(h, block * 16384 + 1, 16384 + 2 * 8), hex(encode('</article'))) AND regexp_matches(substr(h, block * 16384 + 1, 16384 + 16), '^(..)*' || hex(encode('</article')))")
 def candidate_blocks(spark, sf_dir):
     return profile.candidate_blocks(_hays(spark, sf_dir, "pages", "page_id", "html"), "</article")
@@ -274,6 +317,28 @@ def memo_has_batch(spark, sf_dir):
     return store.memo(_hays(spark, sf_dir), b0=search.has("text", "idiot"), b1=search.has("text", "tion"))
 
 
+@query("SELECT min(doc_id) AS handle, text, count(*) AS refs FROM documents GROUP BY text")
+def store_snapshot(spark, sf_dir):
+    """The store written as a snapshot and read back."""
+    path = staging.new_path(spark, "store")
+    store.save(store.intern(_hays(spark, sf_dir)), path)
+    return store.load(spark, path)
+
+
+@query("""SELECT handle, needle, CAST(instr(text, needle) - 1 AS BIGINT) AS off, CAST((length(text) - length(replace(text, needle, ''))) // length(needle) AS BIGINT) AS n
+FROM (SELECT min(doc_id) AS handle, text FROM documents GROUP BY text) CROSS JOIN (VALUES ('the'), ('tion'), ('é')) x(needle)""")
+def memo_table(spark, sf_dir):
+    """Answers kept from one needle, read back, and completed for others."""
+    contents, path = store.intern(_hays(spark, sf_dir)), staging.new_path(spark, "memo")
+    store.save(store.remember(contents, ["the"]), path)
+    return store.remember(contents, ["the", "tion", "é"], path)
+
+
+@query("SELECT doc_id AS hay_id, min(doc_id) OVER (PARTITION BY text) AS handle FROM documents")
+def store_handles(spark, sf_dir):
+    return store.handles(_hays(spark, sf_dir))
+
+
 @query("SELECT count(*) AS objects, CAST(sum(refs) AS BIGINT) AS refs, CAST(sum(refs * b) AS BIGINT) AS raw_bytes, CAST(sum(b) AS BIGINT) AS resident_bytes FROM (SELECT text, strlen(text) AS b, count(*) AS refs FROM conversations GROUP BY text)")
 def store_stats(spark, sf_dir):
     return store.stats(_hays(spark, sf_dir, "conversations", "conv_id"))
@@ -318,34 +383,92 @@ def fixed_twins(spark, sf_dir):
     return chunking.twins(chunking.fixed_chunks(_hays(spark, sf_dir), 256)).select(F.hex("chunk").alias("chunk"), "n", "hays")
 
 
+@query("SELECT sub, count(*) AS n FROM (SELECT substr(text, i + 1, 3) AS sub FROM (SELECT text, unnest(range(0, length(text) - 2)) AS i FROM documents WHERE length(text) >= 3)) WHERE sub NOT IN ('   ', chr(10) || chr(10) || chr(10)) GROUP BY sub HAVING count(*) BETWEEN 2 AND 64")
+def rare_grams_dense(spark, sf_dir):
+    """The same at every position."""
+    return repeats.rare_grams(_hays(spark, sf_dir), stride=1)
+
+
 @query()
 def suffix_repeats(spark, sf_dir):
-    """The longest repeated substring of every document: suffix order, tested against brute force."""
+    """The longest repeated substring of every document: suffix order, tested against brute force; SQL needs all suffixes as rows."""
     return repeats.longest(_hays(spark, sf_dir))
 
 
+@query("""SELECT hay_id, CASE WHEN max(common) >= 4 THEN max(common) ELSE 0 END AS len FROM (
+  SELECT hay_id, coalesce(list_filter(range(1, least(length(a), length(b)) + 1), lambda k: substr(a, k, 1) <> substr(b, k, 1))[1] - 1, least(length(a), length(b)), 0) AS common
+  FROM (SELECT hay_id, a, lag(a) OVER (PARTITION BY hay_id ORDER BY a) AS b FROM (SELECT item_id AS hay_id, substr(text, i + 1) AS a FROM (SELECT item_id, text, unnest(range(0, length(text))) AS i FROM benchmark))) WHERE b IS NOT NULL
+) GROUP BY hay_id""")
+def suffix_repeats_short(spark, sf_dir):
+    """The same of every benchmark item, where SQL can sort the suffixes."""
+    return repeats.longest(_hays(spark, sf_dir, "benchmark", "item_id"))
+
+
 @query()
 def repeats_budgeted(spark, sf_dir):
-    """Ranked repeats of single documents; which are found is the search's choice, tested by invariants."""
+    """Ranked repeats of single documents, from all LCP intervals; tested against all substrings of small texts."""
     return repeats.repeats(_hays(spark, sf_dir))
 
 
-# chunks
+@query()
+def repeats_in(spark, sf_dir):
+    """The same, searched once a distinct content."""
+    return store.repeats_in(_hays(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id AS hay_id, text, length(text) AS n, regexp_extract_all(text, '(?s).') AS cs FROM documents),
+w AS (SELECT hay_id, substr(text, i + 1, 16) AS win, i FROM (SELECT hay_id, text, unnest(range(0, n - 15, 16)) AS i FROM d WHERE n >= 16)),
+p AS (SELECT hay_id, list(i ORDER BY i)[1] AS a, list(i ORDER BY i)[2] AS b FROM w GROUP BY hay_id, win HAVING count(*) >= 2),
+x AS (SELECT hay_id, text, n, a, b, coalesce(list_filter(range(1, a + 1), lambda k: cs[a - k + 1] <> cs[b - k + 1])[1] - 1, a) AS l,
+        coalesce(list_filter(range(16, least(n - b, 272)), lambda k: cs[a + k + 1] <> cs[b + k + 1])[1], least(n - b, 272)) AS r FROM p JOIN d USING (hay_id)),
+s AS (SELECT DISTINCT hay_id, text, n AS t, substr(text, a - l + 1, CASE WHEN short THEN 5 ELSE least(256, l + r) END) AS sub FROM x CROSS JOIN (VALUES (true), (false)) v(short)),
+c AS (SELECT hay_id, sub, t, CAST(instr(text, sub) - 1 AS BIGINT) AS off, CAST(length(sub) AS INTEGER) AS len, CAST((t - length(replace(text, sub, ''))) // length(sub) AS BIGINT) AS n FROM s),
+e AS (SELECT hay_id, off, len, n, CAST(len + t - n * (len - (4 + CASE WHEN len >= 10 THEN 2 ELSE 0 END + CASE WHEN len >= 100 THEN 1 ELSE 0 END)) AS BIGINT) AS est_lin, sub FROM c WHERE n >= 2)
+SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY hay_id ORDER BY est_lin, len DESC, n DESC, sub) <= 24""")
+def repeats_extended(spark, sf_dir):
+    """Repeated windows of each document, extended beyond their grid."""
+    return repeats.extended(_hays(spark, sf_dir))
 
 
 @query()
+def repeats_seeded(spark, sf_dir):
+    """Repeats from short seeds; tested against a plain version."""
+    return repeats.seeded(_hays(spark, sf_dir))
+
+
+# chunks
+
+
+def _cut_sql(table: str, key: str, text: str) -> str:
+    """Chunks by the byte-by-byte rule: only the last 12 bytes reach the hash's low bits, and an end follows the end before."""
+    low = ", ".join(f"('{b:02X}', {int(v) % 4096})" for b, v in enumerate(chunking.gear()))
+    hashed = " + ".join(f"{1 << k} * coalesce(lag(v, {k}) OVER w, 0)" if k else "v" for k in range(chunking.BITS))
+    upto = f"least(coalesce(list_filter(e, lambda x: x >= {{0}} + {chunking.LEAST})[1], n), {{0}} + {chunking.MOST}, n)"
+    return f"""(WITH RECURSIVE g(x, v) AS (VALUES {low}), d AS (SELECT {key} AS hay_id, hex(encode({text})) AS h, CAST(strlen({text}) AS BIGINT) AS n FROM {table} WHERE {text} <> ''),
+b AS (SELECT hay_id, i, v FROM (SELECT hay_id, unnest(regexp_extract_all(h, '..')) AS x, unnest(range(0, n)) AS i FROM d) JOIN g USING (x)),
+ends AS (SELECT hay_id, list(i + 1 ORDER BY i) AS e FROM (SELECT hay_id, i, ({hashed}) % 4096 AS low FROM b WINDOW w AS (PARTITION BY hay_id ORDER BY i)) WHERE low = 0 GROUP BY hay_id),
+t AS (SELECT d.hay_id, h, n, coalesce(e, []) AS e FROM d LEFT JOIN ends ON ends.hay_id = d.hay_id),
+c AS (SELECT hay_id, 0 AS seq, CAST(0 AS BIGINT) AS off, {upto.format(0)} AS upto FROM t
+  UNION ALL SELECT c.hay_id, seq + 1, upto, {upto.format("c.upto")} FROM c JOIN t ON t.hay_id = c.hay_id WHERE c.upto < n)
+SELECT c.hay_id, CAST(seq AS INTEGER) AS seq, off, substr(h, 2 * off + 1, 2 * (upto - off)) AS chunk FROM c JOIN t ON t.hay_id = c.hay_id)"""
+
+
+_CHUNKS = _cut_sql("documents", "doc_id", "text")
+
+
+@query(f"SELECT hay_id, seq, off, md5(chunk) AS digest FROM {_cut_sql('pages', 'page_id', 'html')}")
 def cdc_chunks(spark, sf_dir):
-    return chunking.chunks(_hays(spark, sf_dir, "pages", "page_id", "html"))
+    return chunking.chunks(_hays(spark, sf_dir, "pages", "page_id", "html")).select("hay_id", "seq", "off", F.md5(F.hex("chunk")).alias("digest"))
 
 
-@query()
+@query(f"SELECT md5(chunk) AS digest, count(*) AS n, count(DISTINCT hay_id) AS hays FROM {_CHUNKS} GROUP BY chunk HAVING count(*) > 1")
 def cdc_twins(spark, sf_dir):
-    return chunking.twins(chunking.chunks(_hays(spark, sf_dir)))
+    return chunking.twins(chunking.chunks(_hays(spark, sf_dir))).select(F.md5(F.hex("chunk")).alias("digest"), "n", "hays")
 
 
-@query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS raw_bytes FROM documents")
-def chunk_raw_bytes(spark, sf_dir):
-    return chunking.dedup_stats(chunking.chunks(_hays(spark, sf_dir))).select("raw_bytes")
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS chunks, count(*) AS distinct_chunks, CAST(sum(n * b) AS BIGINT) AS raw_bytes, CAST(sum(b) AS BIGINT) AS resident_bytes FROM (SELECT count(*) AS n, length(chunk) // 2 AS b FROM {_CHUNKS} GROUP BY chunk)")
+def chunk_dedup_stats(spark, sf_dir):
+    return chunking.dedup_stats(chunking.chunks(_hays(spark, sf_dir)))
 
 
 @query("SELECT doc_id AS hay_id, md5(text) AS digest FROM documents WHERE text <> ''")
@@ -359,15 +482,15 @@ def chunk_range(spark, sf_dir):
     return chunking.read_chunks(chunking.chunks(_hays(spark, sf_dir)), 1500, 200).select("hay_id", F.hex("bytes").alias("bytes"))
 
 
-@query()
+@query(f"SELECT first.hay_id AS chunk_hay, first.seq AS chunk_seq, digest, refs FROM (SELECT min(row(hay_id, seq)::STRUCT(hay_id BIGINT, seq INTEGER)) AS first, md5(chunk) AS digest, count(*) AS refs FROM {_CHUNKS} GROUP BY chunk)")
 def chunk_table(spark, sf_dir):
-    """The distinct chunks and their references, tested against the byte-by-byte rule."""
-    return chunking.chunk_table(chunking.chunks(_hays(spark, sf_dir)))
+    """The distinct chunks and their references."""
+    return chunking.chunk_table(chunking.chunks(_hays(spark, sf_dir))).select("chunk_hay", "chunk_seq", F.md5(F.hex("chunk")).alias("digest"), "refs")
 
 
-@query("SELECT doc_id AS hay_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text <> ''")
+@query(f"SELECT hay_id, count(*) AS chunks, CAST(sum(length(chunk) // 2) AS BIGINT) AS bytes, md5(string_agg(md5(unhex(chunk)), '' ORDER BY seq)) AS digest FROM {_CHUNKS} GROUP BY hay_id")
 def object_table(spark, sf_dir):
-    return chunking.object_table(chunking.chunks(_hays(spark, sf_dir))).select("hay_id", F.col("bytes").cast("long").alias("bytes"))
+    return chunking.object_table(chunking.chunks(_hays(spark, sf_dir)))
 
 
 @query("SELECT doc_id AS hay_id, CAST(instr(text, 'idiot') - 1 AS BIGINT) AS off, CAST((length(text) - length(replace(text, 'idiot', ''))) // 5 AS BIGINT) AS n FROM documents")

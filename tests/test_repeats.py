@@ -69,6 +69,70 @@ def test_budgeted_repeats_of_little(spark):
     assert {r["hay_id"] for r in rows} == {0, 3} and len({(r["off"], r["len"], r["n"], bytes(r["sub"])) for r in rows}) * 2 == len(rows)
 
 
+def plain_extended(text, k, stride, options, seeds=False):
+    """Pairs of equal windows grown a character at a time; counts by a greedy walk."""
+    pairs, rows = [], {}
+    if seeds:
+        k = min(8, options.min_len)
+        pairs = [(a, b) for a in range(0, len(text) - k + 1, 8 * k) for b in [text.find(text[a : a + k], a + 1)] if b >= 0]
+    else:
+        places = {}
+        for a in range(0, len(text) - k + 1, stride):
+            places.setdefault(text[a : a + k], []).append(a)
+        pairs = [p[:2] for p in places.values() if len(p) > 1]
+    for a, b in pairs:
+        left = right = 0
+        while left < a and text[a - left - 1] == text[b - left - 1]:
+            left += 1
+        while b + k + right < len(text) and text[a + k + right] == text[b + k + right]:
+            right += 1
+        length = min(options.max_len, left + k + right)
+        for fit in {length} if seeds else {length, min(8, max(5, options.min_len))}:
+            sub, n = text[a - left : a - left + fit], 0
+            if not options.min_len <= fit <= length:
+                continue
+            at = text.find(sub)
+            while at >= 0:
+                n, at = n + 1, text.find(sub, at + fit)
+            if n >= options.min_count:
+                rows[sub] = (text.find(sub), fit, n, fit + len(text) - n * (fit - 4 - 2 * (fit >= 10) - (fit >= 100)), sub)
+    return sorted(rows.values(), key=lambda r: (r[3], -r[1], -r[2], r[4]))[: options.top_k]
+
+
+def test_extension_equals_the_plain_rule(spark):
+    rnd = random.Random(12)
+    parts = ["".join(rnd.choices("abcé ", k=rnd.randint(5, 80))) for _ in range(6)]
+    texts = ["", "x", "aaaaaaaaaaaaaaaaaaaaaaa", *["".join(rnd.choices(parts, k=rnd.randint(2, 12))) for _ in range(30)]]
+    for options in (Options(4, 30, 2, 6), Options(3, 256, 3, 24)):
+        got = repeats.extended(frame(spark, [*texts, None]), 8, 4, options).collect()
+        assert sorted(map(tuple, got)) == sorted((i, *r) for i, t in enumerate(texts) for r in plain_extended(t, 8, 4, options))
+        got = repeats.seeded(frame(spark, texts), options).collect()
+        assert sorted(map(tuple, got)) == sorted((i, *r) for i, t in enumerate(texts) for r in plain_extended(t, 0, 0, options, True))
+
+
+def test_suffixes_of_several_haystacks():
+    rnd = random.Random(3)
+    for _ in range(60):
+        texts = [bytes(rnd.choices(b"abc"[: rnd.randint(1, 3)], k=rnd.randint(0, 30))) * rnd.choice([1, 2, 5]) for _ in range(rnd.randint(1, 4))]
+        order, common, base = [], [], 0
+        for t in texts:
+            own = sorted(range(len(t)), key=lambda i: t[i:])
+            order += [base + i for i in own]
+            common += [0 if not j else next((k for k in range(len(t)) if t[i + k : i + k + 1] != t[own[j - 1] + k : own[j - 1] + k + 1]), 0) for j, i in enumerate(own)]
+            base += len(t)
+        data, ends = repeats.np.frombuffer(b"".join(texts), "u1"), repeats.np.cumsum([len(t) for t in texts])
+        got = repeats._suffixes(data, ends)
+        assert got[0].tolist() == order and got[1].tolist() == common
+        assert repeats._suffixes(data, ends, 5)[1].tolist() == [min(5, x) for x in common]
+
+
+def test_repeats_of_bytes(spark):
+    raw = bytes(range(128, 256)) * 6 + b"\xff\xfe" * 9
+    rows = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b""))], "hay_id long, text binary")
+    got = repeats.repeats(rows).collect()
+    assert {r["hay_id"] for r in got} == {1} and [(r["off"], r["len"], r["n"], r["est_lin"], bytes(r["sub"])) for r in got] == find_repeats(raw, Options())
+
+
 def test_longest_equals_brute_force(spark):
     rnd = random.Random(5)
     texts = ["", "a", "aaaa", "abcabc", "banana" * 4] + ["".join(rnd.choice("abé") for _ in range(rnd.randint(2, 60))) for _ in range(30)]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from needlework import cli
 from needlework.functions import search
 from needlework.operators import batch, listing, profile, store
+from needlework.operators.repeats import Options
 from needlework.sources import files
 
 
@@ -112,8 +113,8 @@ def test_strategies_agree(spark, monkeypatch):
     texts = [alphabet, "", *["".join(rnd.choice("abc") for _ in range(60)) for _ in range(20)], None]
     hays, rows = frame(spark, texts), spark.createDataFrame([(w,) for w in [*needles, "ab", "abc"]], "needle string")
     want = {(i, w) for i, t in enumerate(texts) if t is not None for w in needles if w in t}
-    for strategy, automaton, block in (("join", 1, 1 << 18), ("scan", 1, 1 << 18), ("scan", 10**9, 1 << 18), ("scan", 1, 500), ("auto", 1, 1 << 18)):
-        monkeypatch.setattr(batch, "AUTOMATON", automaton)
+    for strategy, rows_out, block in (("join", 1 << 16, 1 << 18), ("scan", 1 << 16, 1 << 18), ("scan", 7, 1 << 18), ("scan", 1 << 16, 500), ("join", 1 << 16, 500), ("auto", 1 << 16, 1 << 18)):
+        monkeypatch.setattr(batch, "OUT_ROWS", rows_out)
         monkeypatch.setattr(batch, "BLOCK_BYTES", block)
         got = batch.has_pairs(hays, rows, strategy).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
@@ -123,6 +124,10 @@ def test_strategies_agree(spark, monkeypatch):
         assert {r[0] for r in batch.has_semi(hays, rows, strategy).collect()} == {w for _, w in want}
         assert {r[0] for r in batch.has_anti(hays, rows.where("needle = 'abc'"), strategy).collect()} == {i for i, t in enumerate(texts) if t is None or "abc" not in t}
     assert batch.has_pairs(hays, rows.where("1 = 0")).count() == 0
+    for overlap in (False, True):
+        met = {w: sum(w in t for t in texts if t is not None) for w in needles}
+        often = {w: sum(len((starts if overlap else greedy)(t, w)) for t in texts if t) for w in needles}
+        assert {tuple(r) for r in batch.totals(hays, rows, overlap).collect()} == {(w, n, often[w]) for w, n in met.items() if n}
     assert batch.has_bits(frame(spark, ["the quick brown fox"]), ["quick", "slow", "fox", "", "quick"]).first()["bits"] == [True, False, True, True, True]
     assert batch.count_list(frame(spark, ["abcabcabcXYZ"]), ["abc", "XYZ", "nope", ""]).first()["counts"] == [3, 1, 0, 0]
 
@@ -166,6 +171,44 @@ def test_store(spark, tmp_path):
     assert [bytes(r["bytes"]) for r in store.read_range(frame(spark, ["hello", "h", "é"]), 1, 3).orderBy("hay_id").collect()] == [b"ell", b"", b"\xa9"]
 
 
+def test_kept_profiles(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefg é") for _ in range(n)) for n in (0, 100, 4095, 4096, 40_000, 9000)] + [None]
+    texts[4] = texts[4][:8190] + "NEEDLE" + texts[4][8196:]
+    kept = profile.build(frame(spark, texts), 2).cache()
+    for needle in ("NEEDLE", "abc", "zq", "", "éa", "NEEDLX"):
+        may = {r["hay_id"]: r["may"] for r in profile.may_contain_profiled(kept, needle).collect()}
+        own = {r["hay_id"]: r["may"] for r in profile.may_contain(frame(spark, texts), needle).collect()}
+        found = {r["hay_id"]: r["blocks"] for r in profile.profiled_blocks(kept, needle).collect()}
+        for i, t in enumerate(texts[:-1]):
+            assert may[i] or needle not in t
+            assert own[i] == (set(needle.encode()) <= set(t.encode()))
+            at = {x // 8192 for x in range(len(t.encode())) if needle and t.encode().startswith(needle.encode(), x)}
+            assert found[i] is None or at <= set(found[i])
+    assert {r["hay_id"]: r["blocks"] for r in profile.profiled_blocks(kept, "NEEDLE").collect()}[4] == [len(texts[4][:8190].encode()) // 8192]
+    assert {r["hay_id"]: r["blocks"] for r in profile.profiled_blocks(kept, "abc").collect()}[4] is None  # more than half of the blocks
+    assert profile.build(frame(spark, texts), 0).where("hist is null and entropy is null and grams is null and label = 'mixed'").count() == 7
+
+
+def test_memo_tables(spark, tmp_path):
+    texts = ["a needle", "b", "a needle", None, ""]
+    contents = store.intern(frame(spark, texts))
+    store.save(store.remember(contents, ["a"]).withColumn("n", F.col("n") + 100), f"{tmp_path}/memo")  # marked, to be told apart
+    got = {(r["handle"], r["needle"]): (r["off"], r["n"]) for r in store.remember(contents, ["a", "e"], f"{tmp_path}/memo").collect()}
+    assert got == {(0, "a"): (0, 101), (1, "a"): (-1, 100), (4, "a"): (-1, 100), (0, "e"): (3, 3), (1, "e"): (-1, 0), (4, "e"): (-1, 0)}
+    assert {(r["hay_id"], r["handle"]) for r in store.handles(frame(spark, texts)).collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 4)}
+    rows = store.repeats_in(frame(spark, ["abcabcabcabc xy", None, "", "abcabcabcabc xy"]), Options(3, 16, 2, 4)).collect()
+    assert {r["hay_id"] for r in rows} == {0, 3} and len({(r["off"], r["len"], r["n"], bytes(r["sub"])) for r in rows}) * 2 == len(rows)
+
+
+def test_content_hash(spark):
+    import xxhash
+
+    texts = ["", "a", "é" * 50]
+    got = [r["h"] for r in frame(spark, texts).select("hay_id", search.content_hash("text").alias("h")).orderBy("hay_id").collect()]
+    assert got == [xxhash.xxh64_intdigest(t.encode(), 42) - (2**64 if xxhash.xxh64_intdigest(t.encode(), 42) >= 2**63 else 0) for t in texts]
+
+
 def test_token_protocol():
     tokens = [b"abc", b"", b"\x00\xff", b"x" * 5000]
     assert files.decode_tokens(files.encode_tokens(tokens)) == tokens
@@ -192,7 +235,7 @@ def test_command_line(spark, tmp_path):
     assert run("has", str(path), request=request) == run(str(path), request=request) == b"\x01\x00\x01\x01\x01"
     assert run("count-batch", str(path), request=request) == struct.pack("<5I", 1000, 0, 0, 1, 1000)
     text = tmp_path / "text"
-    text.write_text("abcXYZabcXYZabc---hellohello---abcXYZ")
+    text.write_bytes(b"abcXYZabcXYZabc\xff--hellohello---abcXYZ")
     lines = run("repeats", str(text), "3", "16", "8").decode().splitlines()
     assert 0 < len(lines) <= 8 and all(len(x.split("\t")) == 4 for x in lines)
 
