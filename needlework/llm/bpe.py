@@ -5,18 +5,20 @@ token position.  A recursive query joins neighbouring positions with the merge t
 each word's pair of minimum rank, the leftmost first, until no pair of any word merges.  Decoding is
 the ordered aggregation of the tokens' bytes, again a query over token-position rows.
 
-Words repeat, so a worker keeps the ids of those met (a cache of bounded size: when full it is
-emptied, never consulted for less).  Words of over ``LONG_WORD`` bytes would need as many rounds as
-bytes; they take an exact heap merge with the same rule.
-
-Defined results: null text is the empty text (no ids); repeated rows are encoded one by one; an empty
-table gives an empty result; other columns are ignored.
+A recursion keeps the ids of all its rounds, half the square of a word's length, so words are dealt to
+recursions by their lengths squared (``ROOM``): memory is bounded whatever the words.  Words repeat, so a
+worker keeps the ids of those met, and their bytes decoded from those ids (caches of bounded size: when
+full they are emptied, never consulted for less).  Words of over ``LONG_WORD`` bytes would need as many
+rounds as bytes; they take an exact heap merge with the same rule.
+
+Defined results: null text is the empty text (no ids); very long texts are encoded whole, in runs of
+``pieces.BATCH_CHARS`` characters of texts; repeated rows are encoded one by one; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -27,12 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from needlework.llm.common import only
+from needlework.llm.common import gc_paused, only
 from needlework.llm.pieces import Table, slices
+from needlework.plans.layout import spread
 
 LONG_WORD = 512
 #: Words, and pieces, that a worker keeps: about 300 bytes each, so some 200 MB of a worker in all.
 CACHE_WORDS = 350_000
+#: Characters of the words that it keeps.
+CACHE_CHARS = 16_000_000
+#: Words of one recursion, and the sum of their squared lengths: twice the ids that its rounds hold.
+WORDS, ROOM = 20_000, 1 << 26
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,6 +102,7 @@ class Coder:
         self._load("tokens", tokens)
         self.split = regex.compile(pattern).findall
         self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.chars = 0
         self.pieces = Table(self.code_pieces, CACHE_WORDS)
 
     def _load(self, name: str, rows: pa.Table) -> None:
@@ -104,7 +112,7 @@ class Coder:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, contracted by the recursive query (long words: by a heap)."""
-        return self._contract(words)[0].to_pylist()
+        return [ids for some in _dealt(words) for ids in self._contract(some)[0].to_pylist()]
 
     def _contract(self, words: list[bytes]) -> tuple[pa.ListArray, list[str]]:
         """The ids of each word, and the same in decimal joined by a space."""
@@ -161,13 +169,15 @@ class Coder:
     def code_pieces(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids in decimal joined by a space, decoded bytes) of each piece."""
         words, parts = self.words, list(map(self.split, pieces))
-        if len(words) > CACHE_WORDS:
+        if len(words) > CACHE_WORDS or self.chars > CACHE_CHARS:
             words.clear()
-        unmet = list(set(filterfalse(words.__contains__, chain.from_iterable(parts))))
-        for at in range(0, len(unmet), 20_000):
-            some = unmet[at : at + 20_000]
-            coded, said = self._contract([w.encode("utf-8") for w in some])
-            words.update(zip(some, zip(coded.value_lengths().to_pylist(), said, self._decode(coded), strict=True), strict=True))
+            self.chars = 0
+        unmet = sorted(set(filterfalse(words.__contains__, chain.from_iterable(parts))), key=len)  # like lengths end in like rounds
+        self.chars += sum(map(len, unmet))
+        for some in _dealt([w.encode("utf-8") for w in unmet]):
+            coded, said = self._contract(some)
+            met, unmet = unmet[: len(some)], unmet[len(some) :]
+            words.update(zip(met, zip(coded.value_lengths().to_pylist(), said, self._decode(coded), strict=True), strict=True))
         return [words[ws[0]] if len(ws) == 1 else _joined([words[w] for w in ws]) for ws in parts]
 
     def code(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
@@ -175,6 +185,20 @@ class Coder:
         return map(_joined, self.pieces.values(texts))
 
 
+def _dealt(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in order, in runs of at most WORDS words whose squared lengths come to ROOM; long words take no room."""
+    run, room = [], 0
+    for w in words:
+        need = len(w) ** 2 if len(w) <= LONG_WORD else len(w)
+        if run and (len(run) == WORDS or room + need > ROOM):
+            yield run
+            run, room = [], 0
+        run.append(w)
+        room += need
+    if run:
+        yield run
+
+
 def _joined(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
     if not found:
         return 0, "", b""
@@ -185,19 +209,19 @@ def _joined(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
 @lru_cache(maxsize=2)
 def coder(rank_path: str, pattern: str) -> Coder:
     """One coder a worker process and rank file."""
-    gc.disable()  # its tables hold no cycles, and are costly to walk
     return Coder(rank_path, pattern)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>): the ids of every whole text."""
-    rows = only(docs, **{key: "long", "text": "string"})
+    rows = spread(only(docs, **{key: "long", "text": "string"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(rank_path, pattern)
         for batch in batches:
             for keys, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = [[int(x) for x in s.split()] for _, s, _ in own.code(texts)]
+                with gc_paused():
+                    ids = [[int(x) for x in s.split()] for _, s, _ in own.code(texts)]
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     return rows.mapInArrow(run, f"{key} long, ids array<int>")
@@ -220,7 +244,7 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, key: str = "doc_id")
 
 def digests(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded."""
-    rows = only(docs, **{key: "long", "text": "string"})
+    rows = spread(only(docs, **{key: "long", "text": "string"}))
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -228,7 +252,8 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id")
         own = coder(rank_path, pattern)
         for batch in batches:
             for keys, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = list(own.code(texts))
+                with gc_paused():
+                    got = list(own.code(texts))
                 columns = [
                     keys,
                     [n for n, _, _ in got],

@@ -1,48 +1,36 @@
-"""Shared pieces of the training-data operators: the shared folder, staged tables, components."""
+"""Shared pieces of the training-data operators: columns, row hashes, components; staged tables come from the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from needlework.plans.staging import drop, shared_dir, stage
+
+__all__ = ["BLANK", "WORD", "connected_components", "drop", "gc_paused", "numbered", "only", "row_hash", "shared_dir", "stage", "table"]
+
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` leaves it out.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = " \t\n\x0b\x0c\r"
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark's own reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset and the session
-    runs in one JVM (tests), a temporary folder takes its place; on a cluster that is an error.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="needlework-")
-    return _LOCAL_DIRS[context.applicationId]
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/needlework/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def gc_paused():
+    """No garbage collection meanwhile: a worker's tables hold no cycles, and are costly to walk."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -56,6 +44,24 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*values, *[v.isNull() for v in values])
 
 
+def numbered(classes: DataFrame, least: str, label: str) -> tuple[DataFrame, int]:
+    """(``classes`` staged with ``node``, the largest id): a class goes by its least id, one with null ids alone by a number above all ids.
+
+    So the smallest node of a component is the id that names it, or is above the largest id and names nothing.
+    """
+    staged = stage(classes, label)
+    top, nulls = staged.agg(F.max(least), F.count_if(F.col(least).isNull())).first()
+    top = -(2**63) if top is None else top
+    if not nulls:
+        return staged.withColumn("node", F.col(least)), top
+    if top >= 2**62:
+        raise OverflowError("no numbers are left above the ids for the classes of null ids")
+    above = F.lit(max(top, 0) + 1) + F.monotonically_increasing_id()
+    out = stage(staged.withColumn("node", F.coalesce(F.col(least), above)), label)
+    drop(staged)
+    return out, top
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node that links reach.
 
@@ -63,8 +69,6 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     neighbour comes from a pre-aggregated ``min``; hubs meet their edges in a plain join that
     adaptive execution may split, so no task needs all neighbours of one node.
     """
-    spark = edges.sparkSession
-
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -90,11 +94,14 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     )
     seen = state(now)
     while seen[0]:
-        now = stage(star(star(now, True), False), label)
+        before, now = now, stage(star(star(now, True), False), label)
+        drop(before)
         after = state(now)
         if after == seen:
             break
         seen = after
     leaves = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return stage(leaves.union(roots), label)
+    out = stage(leaves.union(roots), label)
+    drop(now)
+    return out

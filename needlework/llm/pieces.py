@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 #: Characters of text taken together, so that a batch of long documents stays small.
 BATCH_CHARS = 4_000_000
+#: Characters of the pieces that a table keeps: scripts without spaces make few and long ones.
+MOST_CHARS = 16_000_000
 
 _ODD = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
@@ -53,17 +55,18 @@ class _Known(dict):
 
 
 class Table:
-    """Pieces looked up in a bounded table; ``encode`` turns a list of strings into their values (no strings)."""
+    """Pieces looked up in a table of at most about ``most`` pieces and MOST_CHARS characters; ``encode`` turns a list of strings into their values (no strings)."""
 
     def __init__(self, encode: Callable[[list[str]], list], most: int):
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.chars = encode, most, 0
         self.spaced, self.heads = _Known(), _Known()
 
     def values(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its pieces, in order."""
-        for known in (self.spaced, self.heads):
-            if len(known) > self.most:
-                known.clear()
+        if max(len(self.spaced), len(self.heads)) > self.most or self.chars > MOST_CHARS:
+            self.spaced.clear()
+            self.heads.clear()
+            self.chars = 0
         heads, spaced = self.heads, self.spaced
         found = []
         for text in texts:
@@ -74,6 +77,7 @@ class Table:
         for known, space in ((spaced, " "), (heads, "")):
             new = list(known.new)
             known.new.clear()
+            self.chars += sum(map(len, new))
             known.update(zip(new, self.encode([space + p for p in new]), strict=True))
         for head, values, missed in found:
             if missed:
