@@ -22,8 +22,8 @@ f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {q
         100 * n_symbols > {quality_rules.SOFT_SYMBOLS_PERCENT} * greatest(n_words, 1) OR n_dup_lines > {quality_rules.SOFT_DUP_LINES} AS soft FROM s),
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR soft)::DOUBLE AS x FROM f GROUP BY source),
 p AS (SELECT sum(x) / sum(n) AS m, var_pop(x / n) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(10000.0, m * (1 - m) / v - 1)) ELSE 10000.0 END AS k FROM p),
-bad AS (SELECT source FROM h, q WHERE (x + k * m) / (n + k) > {quality_rules.HOST_LIMIT})
+q AS (SELECT m, CASE WHEN v > 0 THEN greatest({quality_rules.LEAST_WEIGHT}, least({quality_rules.MOST_WEIGHT}, m * (1 - m) / v - 1)) ELSE {quality_rules.MOST_WEIGHT} END AS k FROM p),
+bad AS (SELECT source FROM h, q WHERE (x + k * m) / (n + k) > m + {quality_rules.HOST_DEVIATIONS} * sqrt(m * (1 - m) / (k + 1)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (soft AND EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source)) AS kept FROM f
 """

@@ -2,11 +2,11 @@
 
 Everything is a DataFrame expression; no Python runs on the executors.  A document's statistics
 come from one projection over its text (no shuffle); hosts come from one pre-aggregated group-by of
-four counters, and the host table (a row a host) joins back to the narrow statistics.
+two counters, and the host table (a row a host) joins back to the narrow statistics.
 
-Defined results: null text counts as no words (all zeros, ``base_failed``); a null source is a
-host of its own; repeated rows are judged one by one; an empty table gives an empty result; other
-columns of the input are ignored.
+Defined results: null text counts as no words (all zeros, ``base_failed``); very long texts are taken
+whole, an array element a word; a null source is a host of its own; repeated rows are judged one by one;
+an empty table gives an empty result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: A host is suspect when its shrunk share of failing documents exceeds this.
-HOST_LIMIT = 0.5
+#: A host is suspect when its shrunk share of failing documents is over the prior's mean by so many of the prior's deviations.
+HOST_DEVIATIONS = 0.25
+#: Bounds of the prior's weight, in documents.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 10_000.0
 #: In a suspect host a document needs fewer symbols a word, and fewer duplicate lines, than these.
 SOFT_SYMBOLS_PERCENT = 10
 SOFT_DUP_LINES = 3
@@ -106,23 +108,27 @@ def _rules() -> dict[str, Column]:
     }
 
 
+def _failed() -> Column:
+    rules = _rules()
+    return rules["short"] | rules["repeats"] | rules["symbols"] | rules["lines"]
+
+
 def host_verdicts(stats: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n_docs, n_failed, rate, suspect): failures by host, shrunk by an empirical beta prior.
+    """(host, n_docs, n_failed, rate, suspect) from (host, failed): failures by host, shrunk by an empirical beta prior.
 
     The prior's mean m is the share over all documents; its weight s comes from the variance v of
-    the hosts' own rates by moments, s = m(1-m)/v - 1, held within [1, 10000].
-    The shrunk rate is (failed + s*m) / (docs + s).
+    the hosts' own rates by moments, s = m(1-m)/v - 1, held within LEAST_WEIGHT and MOST_WEIGHT.
+    The shrunk rate is (failed + s*m) / (docs + s): a host of few documents stays near m.  The limit
+    comes from the same prior, whose deviation is sqrt(m(1-m) / (s+1)), so that it follows the corpus.
     """
-    rules = _rules()
-    failed = rules["short"] | rules["repeats"] | rules["symbols"] | rules["lines"]
-    hosts = stats.groupBy(F.col(host).alias("host")).agg(
-        F.count("*").alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed")
-    )
+    hosts = stats.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     own = F.col("n_failed") / F.col("n_docs")
     m, v = hosts.agg(F.sum("n_failed") / F.sum("n_docs"), F.var_pop(own)).first()  # two numbers
-    s = max(1.0, min(10000.0, m * (1 - m) / v - 1)) if v else 10000.0
-    rate = (F.col("n_failed") + F.lit(s * (m or 0.0))) / (F.col("n_docs") + F.lit(s))
-    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > HOST_LIMIT).alias("suspect"))
+    m = m or 0.0
+    s = max(LEAST_WEIGHT, min(MOST_WEIGHT, m * (1 - m) / v - 1)) if v else MOST_WEIGHT
+    rate = (F.col("n_failed") + F.lit(s * m)) / (F.col("n_docs") + F.lit(s))
+    limit = m + HOST_DEVIATIONS * (m * (1 - m) / (s + 1)) ** 0.5
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > limit).alias("suspect"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
@@ -132,7 +138,8 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFra
     suspect and it fails a soft rule (symbols, duplicate lines); a clean document of a bad host stays.
     """
     stats = stage(statistics(docs, key, host), "quality-stats")
-    hosts = stage(host_verdicts(stats, host).where("suspect").select("host", "suspect"), "quality-suspects")  # its size is known then
+    judged = stats.withColumn("failed", _failed())
+    hosts = stage(host_verdicts(judged, host).where("suspect").select("host", "suspect"), "quality-suspects")  # its size is known then
     rules = _rules()
     met = stats.join(hosts, stats[host].eqNullSafe(hosts["host"]), "left")
     base = rules["short"] | rules["repeats"]
@@ -146,16 +153,17 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFra
 def keep(docs: DataFrame) -> DataFrame:
     """The documents, all their columns, that the rules keep.
 
-    Statistics ride along with the rows, so the text needs no join by a key that may repeat.
+    One pass over the texts: each row is staged with what the rules say of it, without its columns where a base rule
+    has it go anyway, so nothing is scanned again and no text meets its verdict by a key that may repeat.
     """
     columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("__row"), F.col("text"), F.col("source"))
-    stats = statistics(packed, "__row", "source")
-    narrow = stage(statistics(docs, "source"), "quality-hosts")
-    hosts = stage(host_verdicts(narrow).where("suspect").select("host", "suspect"), "quality-suspects")  # its size is known then
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text"), F.col("source"))
     rules = _rules()
-    met = stats.where(~(rules["short"] | rules["repeats"])).join(
-        hosts, stats["source"].eqNullSafe(hosts["host"]), "left"
+    base = rules["short"] | rules["repeats"]
+    said = statistics(packed, "__row", "source").select(
+        "source", _failed().alias("failed"), (rules["symbols"] | rules["lines"]).alias("soft"), F.when(~base, F.col("__row")).alias("__row")
     )
-    soft = F.coalesce(F.col("suspect"), F.lit(False)) & (rules["symbols"] | rules["lines"])
-    return met.where(~soft).select("__row.*")
+    stats = stage(said, "quality-judged")
+    hosts = stage(host_verdicts(stats).where("suspect").select("host", "suspect"), "quality-suspects")  # its size is known then
+    met = stats.where("__row is not null").join(hosts, stats["source"].eqNullSafe(hosts["host"]), "left")
+    return met.where(~(F.col("soft") & F.coalesce("suspect", F.lit(False)))).select("__row.*")
