@@ -1,19 +1,20 @@
 """Quality by importance resampling: target and raw generative models over hashed n-grams.
 
-Two bag models over the same hashed places give each document an importance weight, the likelihood of
-its n-grams under the target text over that under the raw text.  The raw model counts the n-grams of
-all documents; the target model those of documents labelled good, a bounded sample (``SAMPLE`` labels,
-a documented parameter).  Features come in two families, words with word pairs, and byte 3-grams with
-their neighbours' shape; a family's log weight is the mean over its n-grams, so length does not decide.
+Two generative models over the same hashed places give each document an importance weight, the likelihood
+of its n-grams under the target text over that under the raw text; the log weight is a sum over all of its
+n-grams.  The raw model counts the n-grams of all documents; the target model those of documents labelled
+good, a bounded sample (``SAMPLE`` labels, a documented parameter).  Features come in two families, words with
+word pairs, and byte 3-grams by the class of their characters.
 
-Resampling without replacement is Gumbel top-k: the log weight, over the temperature ``NOISE``, plus
-Gumbel noise from a hash of the document; the k largest stay.  k is the number of documents whose log
-weight reaches the level that all but ``LOSS`` of the good labels reach.  The k-th largest is found
-exactly by radix selection over bounded histograms, not by sorting.
+Resampling without replacement is Gumbel top-k: to the log weight comes Gumbel noise of unit scale, drawn from a
+hash of the document, and the k largest stay.  k is the number of documents that the raw model makes at most
+exp(``MARGIN``) times likelier than the target model does.  The k-th largest is found exactly by radix selection
+over bounded histograms, not by sorting.
 
 Defined results: null and empty texts have no n-grams, log weight 0 and no evidence against them: they
-take part like others; without good labels everything stays; ties with the k-th stay; repeated rows
-are scored one by one; other columns are kept by ``keep`` only.
+take part like others; very long texts are taken whole, in runs of ``BLOCK``; without good labels everything
+stays; ties with the k-th stay, and repeated rows, scored one by one, draw the same noise; an empty table gives
+an empty result; other columns are kept by ``keep`` only.
 """
 
 from __future__ import annotations
@@ -27,24 +28,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from needlework.llm.common import BLANK, only, stage
+from needlework.llm.common import only, stage
+from needlework.plans.layout import spread
 
 PLACES = 1 << 14
 SAMPLE = 20_000
-NOISE = 0.002
-LOSS = 0.002
-MARGIN = 0.05
+#: Documents of a log weight of minus so much or more are counted into k.
+MARGIN = 4.0
 #: Words or bytes of a text counted together.
 BLOCK = 1 << 19
 
 _CLASS = np.zeros(256, np.uint32)
 for _c in range(256):
     _CLASS[_c] = 1 if 97 <= _c <= 122 else 2 if 65 <= _c <= 90 else 3 if 48 <= _c <= 57 else 4 if _c >= 128 else 5 if _c in (32, 10) else _c
-_WHITE = BLANK.encode()
 
 
-def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over 2 * PLACES places (words and pairs, then bytes), and the number of n-grams of each family."""
+def counts(text: str | None) -> np.ndarray:
+    """How often each of 2 * PLACES places is hit: words and pairs first, then bytes."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     total = np.zeros(2 * PLACES, np.int64)
     words = raw.split()
@@ -63,12 +63,12 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if len(part) >= 3:
             h = (part[:-2] * np.uint32(0x9E3779B1)) ^ (part[1:-1] * np.uint32(0x85EBCA6B)) ^ (part[2:] * np.uint32(0xC2B2AE35))
             total[PLACES:] += np.bincount((h >> np.uint32(11)) & np.uint32(PLACES - 1), minlength=PLACES)
-    return total, np.array([total[:PLACES].sum(), total[PLACES:].sum()])
+    return total
 
 
 def models(docs: DataFrame, good: DataFrame, key: str = "doc_id") -> np.ndarray | None:
     """log p(target) - log p(raw) of every place; None without good labels."""
-    rows = only(docs, **{key: "long", "text": "string"})
+    rows = spread(only(docs, **{key: "long", "text": "string"}))
     labelled = good.select(F.col(key).alias("__good")).distinct().orderBy(F.xxhash64(F.lit("importance"), "__good")).limit(SAMPLE)
     # at most SAMPLE keys
     marked = rows.join(F.broadcast(labelled), F.col(key) == F.col("__good"), "left").select("text", F.col("__good").isNotNull().alias("good"))
@@ -77,7 +77,7 @@ def models(docs: DataFrame, good: DataFrame, key: str = "doc_id") -> np.ndarray
         raw, target = np.zeros(2 * PLACES, np.int64), np.zeros(2 * PLACES, np.int64)
         for batch in batches:
             for text, is_good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found, _ = counts(text.as_py())
+                found = counts(text.as_py())
                 raw += found
                 if is_good:
                     target += found
@@ -100,15 +100,13 @@ def models(docs: DataFrame, good: DataFrame, key: str = "doc_id") -> np.ndarray
 
 
 def log_weights(docs: DataFrame, model: np.ndarray | None, key: str = "doc_id", carry: bool = False) -> DataFrame:
-    """(key, score), or all columns and __score: the mean log importance weight of every document."""
-    rows = only(docs, **{key: "long", "text": "string"})
+    """(key, score), or all columns and __score: the log importance weight of every document."""
+    rows = spread(only(docs, **{key: "long", "text": "string"}))
 
     def score(text: str | None) -> float:
         if model is None:
             return 0.0
-        found, n = counts(text)
-        gains = found * model
-        return float(gains[:PLACES].sum() / max(1, n[0]) + gains[PLACES:].sum() / max(1, n[1]))
+        return float((counts(text) * model).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +119,9 @@ def log_weights(docs: DataFrame, model: np.ndarray | None, key: str = "doc_id",
 
 
 def _noisy(score: Column, *identity: str) -> Column:
-    """Log weight over NOISE plus Gumbel noise, in fixed point, so that every engine orders it alike."""
+    """Log weight plus Gumbel noise, in fixed point, so that every engine orders it alike."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit("gumbel"), *identity), 12) + 0.5) * F.lit(2.0**-52)
-    return F.floor((score / NOISE - F.log(-F.log(u))) * 2**20).cast("long")
+    return F.floor((score - F.log(-F.log(u))) * 2**20).cast("long")
 
 
 def _kth_largest(values: DataFrame, k: int) -> int | None:
@@ -150,32 +148,32 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def choose(scored: DataFrame, good: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int | None]:
-    """The scored rows (key, score) with ``value``, staged, and the least value that stays."""
-    valued = stage(scored.select(key, "score", _noisy(F.col("score"), key).alias("value")), "importance")
-    labelled = good.select(F.col(key).alias("__good")).distinct().orderBy(F.xxhash64(F.lit("importance"), "__good")).limit(SAMPLE)
-    level = valued.join(F.broadcast(labelled), F.col(key) == F.col("__good")).agg(F.percentile("score", LOSS)).first()[0]
-    if level is None:
-        return valued, None
-    k = valued.where(F.col("score") >= level - MARGIN).count()
-    return valued, _kth_largest(valued, k)
+def least_taken(valued: DataFrame, score: str = "score") -> int | None:
+    """The k-th largest ``value`` of (score, value): the least that stays; None of nothing."""
+    k = valued.where(F.col(score) >= -MARGIN).count()
+    return _kth_largest(valued, k) if k else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, score, kept) of every document."""
-    good = _good(labels, key)
-    valued, least = choose(log_weights(docs, models(docs, good, key), key), good, key)
-    return valued.select(key, "score", (F.lit(True) if least is None else F.col("value") >= least).alias("kept"))
+    model = models(docs, _good(labels, key), key)
+    scored = log_weights(docs, model, key)
+    valued = stage(scored.select(key, "score", _noisy(F.col("score"), key).alias("value")), "importance")
+    least = least_taken(valued)
+    kept = F.lit(model is None) if least is None else F.col("value") >= least
+    return valued.select(key, "score", (F.lit(True) if model is None else kept).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents, all their columns, that the resampling takes."""
-    good = _good(labels, key)
-    model = models(docs, good, key)
-    _, least = choose(log_weights(docs, model, key), good, key)
+    """The documents, all their columns, that the resampling takes; scored rows are staged whole, so texts are scored once."""
+    model = models(docs, _good(labels, key), key)
+    if model is None:
+        return docs
     rows = log_weights(docs, model, key, carry=True)
-    kept = rows if least is None else rows.where(_noisy(F.col("__score"), key) >= least)
-    return kept.select(*docs.columns)
+    valued = stage(rows.withColumn("__value", _noisy(F.col("__score"), key)), "importance")
+    least = least_taken(valued.select("__score", F.col("__value").alias("value")), "__score")
+    kept = valued.where("1 = 0") if least is None else valued.where(F.col("__value") >= least)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _good(labels: DataFrame, key: str) -> DataFrame:
