@@ -4,31 +4,33 @@ The file is a Parquet folder of shards, so any store that Spark writes can hold
 commit once.  A shard is a row:
 
     part, shard      its place: shards in (part, shard) order hold the documents in ascending key order
+    least, most      the first and last of its keys (a null key is the least int64)
     local_start      ids before it in its part
     n_docs, n_tokens
     width            2 or 4: bytes of an id
     payload          the raw ids of its documents, little-endian, one after the other
-    keys             the documents' keys in payload order (int64; a null key is the least int64, flagged)
+    keys             per slot, the document's key (int64; a null key is the least int64, flagged)
     seeds            the hash index: displacement seeds of its buckets (uint32)
     offsets          per slot, where the document begins in the payload, counted in ids (uint64)
     lengths          per slot, the number of its ids (uint64)
     prints           per slot, the stored fingerprint of the key (uint32)
 
 A key's slot is ``hash(key, seed of its bucket) mod n_docs``; seeds were sought so that every key has
-a slot of its own and none is left over.  A lookup reads one seed, one slot, compares the fingerprint
-and slices the payload: constant time.  A fingerprint that differs means an absent key.
+a slot of its own and none is left over.  A lookup goes to the shards whose range of keys holds the key, by
+the reader's own statistics; there it reads one seed, one slot, compares the fingerprint, then the key
+itself, and slices the payload: constant time.  A fingerprint that differs means an absent key.  Payloads
+are read where a key was found, and nowhere else.
 
 Keys that repeat are told apart by their number of occurrence.  Order of equal keys: by ids.
-Defined results: null text is empty (only the end id); a null key comes first; an empty table gives an
-empty file; other columns are ignored.
+Defined results: null text is empty (only the end id); a very long text is encoded whole and may be a shard by
+itself; a null key comes first; an empty table gives an empty file; other columns are ignored.  The strings of
+special tokens in a text become their ids, as the library does by default.
 """
 
 from __future__ import annotations
 
 import bisect
-import gc
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,8 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from needlework.llm.common import only, shared_dir
+from needlework.llm.common import gc_paused, only
 from needlework.llm.pieces import Table, slices
+from needlework.plans.layout import spread
+from needlework.plans.staging import new_path
 
 CACHE_PIECES = 1_500_000
 #: Pieces that are encoded as one text: the pattern makes a match of every line feed between them.
@@ -47,13 +51,17 @@ LINES = 2_000
 _LINED = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
 #: A shard is closed when it holds this many ids or documents; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
+#: Bytes of text that a part takes.
+PART_BYTES = 64 << 20
 SHARD_DOCS = 1 << 12
 BUCKET = 2
 TRIALS = 32
 NULL_KEY = -(2**63)
+#: Null keys are numbered from here, to differ from the least key itself.
+NULLS = 2**32
 
 SHARD_SCHEMA = (
-    "part int, shard int, local_start long, n_docs int, n_tokens long, width int, payload binary, "
+    "part int, shard int, least long, most long, local_start long, n_docs int, n_tokens long, width int, payload binary, "
     "keys binary, null_key boolean, seeds binary, offsets binary, lengths binary, prints binary"
 )
 
@@ -119,21 +127,21 @@ def pack(docs: list[tuple[int | None, bytes]], width: int) -> dict:
     by_slot = np.empty(len(keys), np.int64)
     by_slot[slots] = np.arange(len(keys))
     return {
-        "n_docs": len(docs), "n_tokens": int(lengths.sum()), "width": kind.itemsize, "payload": b"".join(raw for _, raw in docs),
-        "keys": keys.astype("<i8").tobytes(), "null_key": any(k is None for k, _ in docs), "seeds": seeds.astype("<u4").tobytes(),
+        "least": int(keys[0]), "most": int(keys[-1]), "n_docs": len(docs), "n_tokens": int(lengths.sum()), "width": kind.itemsize, "payload": b"".join(raw for _, raw in docs),
+        "keys": keys[by_slot].astype("<i8").tobytes(), "null_key": any(k is None for k, _ in docs), "seeds": seeds.astype("<u4").tobytes(),
         "offsets": starts[by_slot].astype("<u8").tobytes(), "lengths": lengths[by_slot].astype("<u8").tobytes(),
         "prints": (h[by_slot] >> np.uint64(32)).astype("<u4").tobytes(),
     }
 
 
 def _occurrences(keys: np.ndarray, nulls: list[bool]) -> np.ndarray:
-    """0, 1, 2 ... among equal neighbours; nulls count from 2**32 to differ from the least key itself."""
+    """0, 1, 2 ... among equal neighbours; nulls count from NULLS to differ from the least key itself."""
     runs = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
     isnull = np.array(nulls, bool)
     if len(keys):
         runs |= np.r_[True, isnull[1:] != isnull[:-1]]
     at = np.arange(len(keys))
-    return at - np.maximum.accumulate(np.where(runs, at, 0)) + np.where(isnull, 2**32, 0)
+    return at - np.maximum.accumulate(np.where(runs, at, 0)) + np.where(isnull, NULLS, 0)
 
 
 class Shard:
@@ -141,32 +149,30 @@ class Shard:
 
     def __init__(self, row: dict):
         self.n, self.width = row["n_docs"], row["width"]
-        self.payload = row["payload"]
+        self.payload = row.get("payload")
         self.keys = np.frombuffer(row["keys"], "<i8")
         self.seeds = np.frombuffer(row["seeds"], "<u4")
         self.offsets, self.lengths = np.frombuffer(row["offsets"], "<u8"), np.frombuffer(row["lengths"], "<u8")
         self.prints = np.frombuffer(row["prints"], "<u4")
-        self.n_null = 0
-        if row["null_key"]:  # nulls come first, under the least key
-            # the least key itself may follow: it has occurrence 0 of its own, sought below
-            least = int((self.keys == NULL_KEY).sum())
-            for k in range(least, -1, -1):
-                if k and self.find(None, k - 1) is not None:
-                    self.n_null = k
-                    break
-
-    def find_all(self, keys: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-        """Slots of the keys; -1 where the stored fingerprint differs."""
+        self.null_key = row["null_key"]
+
+    def slots(self, keys: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+        """Slots of the keys; -1 where the stored fingerprint, or else the key itself, differs."""
         h = _hash(keys, occurrence)
         seeds = self.seeds[(h % np.uint64(len(self.seeds))).astype(np.int64)]
         at = _slot(h, seeds, self.n)
-        return np.where(self.prints[at] == (h >> np.uint64(32)).astype(np.uint32), at, -1)
+        return np.where((self.prints[at] == (h >> np.uint64(32)).astype(np.uint32)) & (self.keys[at] == keys), at, -1)
+
+    def slot(self, key: int | None, occurrence: int = 0) -> int:
+        """The slot of one key, or -1."""
+        if key is None and not self.null_key:
+            return -1
+        return int(self.slots(np.array([NULL_KEY if key is None else key], np.int64), np.array([occurrence + (NULLS if key is None else 0)]))[0])
 
     def find(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
         """The ids of one key, or None."""
-        k = np.array([NULL_KEY if key is None else key], np.int64)
-        at = self.find_all(k, np.array([occurrence + (2**32 if key is None else 0)]))[0]
-        return None if at < 0 else self._ids(int(at))
+        at = self.slot(key, occurrence)
+        return None if at < 0 else self._ids(at)
 
     def _ids(self, at: int) -> np.ndarray:
         kind = "<u2" if self.width == 2 else "<u4"
@@ -174,9 +180,13 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(key, start in the shard, ids) of every document, each found through the index."""
-        nulls = np.arange(self.n) < self.n_null
-        at = self.find_all(self.keys, _occurrences(self.keys, nulls.tolist()))
-        for key, null, slot in zip(self.keys.tolist(), nulls, at.tolist(), strict=True):
+        keys = self.keys[np.argsort(self.offsets, kind="stable")]  # no document is without ids: the end id
+        n_null = 0
+        while self.null_key and n_null < self.n and self.slot(None, n_null) >= 0:
+            n_null += 1
+        nulls = np.arange(self.n) < n_null
+        at = self.slots(keys, _occurrences(keys, nulls.tolist()))
+        for key, null, slot in zip(keys.tolist(), nulls, at.tolist(), strict=True):
             yield (None if null else key), int(self.offsets[slot]), self._ids(slot)
 
 
@@ -188,7 +198,7 @@ def _table(path: str, width: int) -> Table:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
+    special = [t.content for t in own.get_added_tokens_decoder().values()]
     kind = np.dtype("<u2" if width == 2 else "<u4")
 
     feed = own.encode("\n", add_special_tokens=False).ids
@@ -196,7 +206,7 @@ def _table(path: str, width: int) -> Table:
     def encode(pieces: list[str]) -> list[bytes]:
         """Ids of each piece.  Those without white space inside, but for lone line feeds, share a line-fed text."""
         out: list[bytes] = [b""] * len(pieces)
-        simple = [k for k, p in enumerate(pieces) if _LINED(p)] if len(feed) == 1 else []
+        simple = [k for k, p in enumerate(pieces) if _LINED(p) and not any(t in p for t in special)] if len(feed) == 1 else []
         for at in range(0, len(simple), LINES):
             some = simple[at : at + LINES]
             (coded,) = own.encode_batch_fast(["\n".join([pieces[k] for k in some])], add_special_tokens=False)
@@ -224,23 +234,24 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, vocabula
     spark = docs.sparkSession
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     rows = only(docs, **{key: "long", "text": "string"})
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)) if size else 1
     cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     cuts = [int(c) for c in cuts]
     end = int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the table holds no cycles, and is costly to walk
         table = _table(tokenizer_path, width)
         for batch in batches:
             for keys, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = [b"".join(found) + end for found in table.values(texts)]
+                with gc_paused():
+                    raw = [b"".join(found) + end for found in table.values(texts)]
                 part = [0 if k is None else bisect.bisect_right(cuts, k) for k in keys]
                 yield pa.record_batch(
                     [pa.array(part, pa.int32()), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["part", key, "raw"]
                 )
 
-    coded = rows.mapInArrow(encode, f"part int, {key} long, raw binary")
+    coded = spread(rows).mapInArrow(encode, f"part int, {key} long, raw binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", key, "raw")
     shards = dealt.mapInArrow(_packer(width), SHARD_SCHEMA)
     shards.write.option("compression", "uncompressed").parquet(path)
@@ -248,7 +259,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, vocabula
 
 def _packer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), *[pa.binary()] * 4]
         names = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
         part, shard, before, held, size = None, 0, 0, [], 0
 
@@ -294,30 +305,55 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 ]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    shards = _with_base(spark, path).drop("part", "shard", "local_start", "before", "n_tokens")
+    shards = _with_base(spark, path).drop("part", "shard", "least", "most", "local_start", "before", "n_tokens")
     return shards.mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
-    """(key, ids) of the given keys, first occurrences: a shard answers from its index, without a scan of its ids."""
-    sought = list(dict.fromkeys(keys))
+    """(key, ids) of the stated keys, first occurrences.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Shards whose range of keys holds none of them are left out by the reader; the others answer from their
+    index alone; then the payloads of the shards that hold a key are read.
+    """
+    sought = sorted({NULL_KEY if k is None else k for k in keys})
+    nulls = None in keys
+    plain = {k for k in keys if k is not None}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                shard = Shard({n: batch.column(n)[i].as_py() for n in batch.schema.names})
-                held = set(shard.keys.tolist())
-                found = [(k, ids.tolist()) for k in sought if (NULL_KEY if k is None else k) in held and (ids := shard.find(k)) is not None]
-                if found:
-                    yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["key", "ids"])
+            for row in batch.to_pylist():
+                shard = Shard(row)
+                low, high = bisect.bisect_left(sought, row["least"]), bisect.bisect_right(sought, row["most"])
+                own = [k for k in sought[low:high] if k in plain] + [None] * (nulls and shard.null_key)
+                found = [(k, at) for k in own if (at := shard.slot(k)) >= 0]
+                columns = [[k for k, _ in found], [row["part"]] * len(found), [row["shard"]] * len(found), [int(shard.offsets[at]) for _, at in found], [int(shard.lengths[at]) for _, at in found]]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["key", "part", "shard", "begin", "n"])
+
+    shards = spark.read.parquet(path)
+    # a key lies in a range of shards; ranges of many keys are one range
+    some = F.lit(False)
+    for at in range(0, len(sought), max(1, -(-len(sought) // 64))):
+        chunk = sought[at : at + max(1, -(-len(sought) // 64))]
+        some = some | ((F.col("most") >= chunk[0]) & (F.col("least") <= chunk[-1]))
+    index = shards.where(some).drop("payload", "local_start", "n_tokens")
+    found = index.mapInArrow(held, "key long, part long, shard long, begin long, n long")
+    found = found.groupBy("key").agg(F.min(F.struct("part", "shard", "begin", "n")).alias("at")).select("key", "at.*")
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                kind = "<u2" if row["width"] == 2 else "<u4"
+                out.append(np.frombuffer(row["payload"], kind, row["n"], row["begin"] * row["width"]).tolist())
+            yield pa.record_batch([batch.column("key"), pa.array(out, pa.list_(pa.int64()))], names=["key", "ids"])
 
-    shards = spark.read.parquet(path).drop("part", "shard", "local_start", "n_tokens")
-    return shards.mapInArrow(run, "key long, ids array<long>")
+    met = found.join(shards.select("part", "shard", "width", "payload"), ["part", "shard"])
+    return met.select("key", "width", "payload", "begin", "n").mapInArrow(ids, "key long, ids array<long>")
 
 
 def digests(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, key: str = "doc_id") -> DataFrame:
     """Write the file in the shared folder and read it back: a row per document."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/needlework/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write(docs, tokenizer_path, path, end_id, vocabulary, key)
     return read(spark, path, key)
