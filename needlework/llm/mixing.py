@@ -5,19 +5,22 @@ taken outright; the fractions are rounded together.  Two documents at a time, ma
 fractions, in words, until one of them is 0 or 1: the direction is drawn so that each keeps its
 expectation, and the words of the pair stay what they were.  A run of documents ends with one open
 fraction; the open ones of many runs meet in the next level of the tree, until a source has one left.
-That one is often long, so about ``CHANGE`` short documents of a source wait for it: it is drawn, and
-the mass it gains or loses is taken from all their fractions in proportion; then the longest of them is
-drawn in the same way, and so on.  A source misses its target by less than its shortest waiting document,
-where their mass suffices.
+That one is often long, so some short documents of a source wait for it, about ``CHANGE`` and at most about a
+``WAITING`` share of all: it is drawn by its fraction, and the mass it gains or loses is taken from all their
+fractions in proportion, as far as it reaches; then the longest of them is drawn in the same way, and so on.
+A source misses its target by less than its shortest waiting document where their mass suffices, and
+by less than the open document otherwise.
 
 Runs hold about ``RUN`` documents, so a source with a third of all rows spreads over as many tasks as
-its rows need.  Draws come from hashes of the documents, so reruns agree.
+its rows need.  Draws come from hashes of the documents and of their number among rows alike, so reruns
+agree and copies are drawn one by one.
 
 Targets: the sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; a target
 stops at 3 times its source's words and the rest is shared again by weight.
 
-Defined results: null text has size 0 and takes nothing; repeated rows are taken one by one; a null
-source is a source; an empty table gives an empty result; other columns are kept by ``mix`` only.
+Defined results: null text has size 0 and takes nothing; very long texts are one document of their size;
+repeated rows are taken one by one; a null source is a source; an empty table gives an empty result; other
+columns are kept by ``mix`` only.
 """
 
 from __future__ import annotations
@@ -30,18 +33,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needlework.llm.common import WORD, row_hash, stage
+from needlework.plans.layout import spread
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 RUN = 500
 CHANGE = 64
+WAITING = 0.125
+#: Copies of one row that a task makes.
+ALIKE = 1000
 SEED = 20_24
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from (source, size): shares by weight, held at MOST times the size."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row a source
+    # sources may be many: ranges of them are numbered apart, after the sources of the ranges before
+    ranged = stage(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    held = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    per = ranged.join(held.select("range", before.alias("before")), "range")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
     listed = stage(per.select("source", "source_size", weight.cast("double").alias("weight")), "mix-sources")
     total = listed.agg(F.sum("source_size")).first()[0] or 0
@@ -141,8 +153,7 @@ def _settled(rows):
                 p[rest] *= 1 - gain / held if held else 1
             else:
                 p[rest] += (1 - p[rest]) * (loss / room if room else 0)
-        elif len(rows) - i > 1:
-            taken = (gain <= loss) if min(gain, loss) > min(held, room) else taken  # too little change: the nearer side
+        elif len(rows) - i > 1:  # as far as the change reaches
             if taken:
                 p[rest] *= max(0.0, 1 - gain / held) if held else 1
             else:
@@ -160,28 +171,29 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFr
     """A row per document: tie, doc_id, row_hash, source, size, source_size, target, copies."""
     spark = docs.sparkSession
     draws = [
-        (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + level), F.col(key), "row_hash"), 11) * F.lit(2.0**-53)).alias(f"u{level}")
+        (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + level), "doc_id", "row_hash", "nth"), 11) * F.lit(2.0**-53)).alias(f"u{level}")
         for level in range(LEVELS)
     ]
-    narrow = stage(
-        docs.select(
-            F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            row_hash(docs).alias("row_hash"),
-        ),
-        "mix-sizes",
+    rows = spread(docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.col("text").alias("__text"), row_hash(docs).alias("__hash")))
+    sized = rows.select(
+        F.col("__key").cast("long").alias("doc_id"), F.col("__source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count("__text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("__hash").alias("row_hash"),
     )
+    # rows alike are counted, then numbered; a row each again, without its text
+    alike = sized.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("n"))
+    narrow = stage(alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n"), "mix-sizes")
     targets = source_targets(narrow)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(ratio), F.lit(MOST))
     open_ = narrow.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.xxhash64(F.lit(SEED), "doc_id", "row_hash").alias("tie"), "doc_id", "row_hash", "source", "size", "source_size", "target",
+        F.xxhash64(F.lit(SEED), "doc_id", "row_hash", "nth").alias("tie"), "doc_id", "row_hash", "source", "size", "source_size", "target",
         whole.cast("int").alias("copies"), F.when(F.col("size") > 0, ratio - whole).otherwise(0.0).alias("p"),
         F.array(*[d.alias(f"u{i}") for i, d in enumerate(draws)]).alias("u"),
     )
     open_ = stage(open_, "mix-open")
     per = open_.groupBy("source").agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).withColumnRenamed("source", "s")
-    small = (F.col("size") <= F.col("mean")) & (F.pmod(F.shiftright("tie", 20), F.lit(1 << 20)) * F.col("docs") < 2 * CHANGE * (1 << 20))
+    share = F.least(F.lit(2.0 * CHANGE) / F.col("docs"), F.lit(2 * WAITING))  # of those up to the mean, about half of all
+    small = (F.col("size") <= F.col("mean")) & (F.pmod(F.shiftright("tie", 20), F.lit(1 << 20)) < share * (1 << 20))
     names = [c.strip().split()[0] for c in ROW.split(",")]
     open_ = stage(open_.join(per, F.col("source").eqNullSafe(F.col("s"))).select(*names, ((F.col("p") > 0) & small).alias("waits")), "mix-open")
     waiting, settled = open_.where("waits").select(*names), [open_.where("p = 0").select(*names)]
@@ -214,7 +226,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFra
     """The documents, all their columns, each as often as the mix takes it.
 
     Decisions meet rows by key and a hash of the whole row, so rows that share both are alike and
-    share out their copies.
+    any of them stands for all.
     """
     columns = docs.columns
     takes = plan(docs, key, source).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("__takes"), F.count("*").alias("__alike"))
@@ -222,10 +234,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFra
     rows = docs.withColumn("__row_hash", row_hash(docs))
     met = rows.join(takes, F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__row_hash") == F.col("__hash")))
     once = met.where("__alike = 1").withColumn("__n", F.col("__takes"))
-    nth = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy(F.lit(1)))
-    alike = met.where("__alike > 1").withColumn("__nth", nth).withColumn(
-        "__n", F.floor(F.col("__takes") / F.col("__alike")) + (F.col("__nth") <= F.col("__takes") % F.col("__alike")).cast("int")
-    )
-    picked = [*columns, "__n"]
-    both = once.select(*picked).union(alike.select(*picked)).where("__n > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*columns)
+    # of rows alike one stands for all; its copies are dealt out ALIKE at a time
+    one = met.where("__alike > 1").dropDuplicates(["__key", "__hash"])
+    dealt = one.withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__takes") / ALIKE))))
+    many = dealt.withColumn("__n", F.least(F.lit(ALIKE), F.col("__takes") - F.col("__deal") * ALIKE)).where("__n > 0").repartition("__hash", "__deal")
+    picked = [*[F.col(f"`{c}`") for c in columns], F.col("__n")]
+    both = once.select(*picked).union(many.select(*picked)).where("__n > 0")
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
