@@ -211,6 +211,25 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, leaf, block):
     assert embedding_dedup.near_duplicates(df.where("1 = 0")).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    close, base = 1 + 1e-12, [1e150, 1e150, 0.0]
+    edge = lambda c: [c, (1 - c * c) ** 0.5, 0.0]
+    rows = [(0, base), (1, [x * close for x in base]), (2, [1.0, 0.0, 0.0]), (3, edge(0.95 + 1e-9)), (4, edge(0.95 - 1e-9)), (None, [0.0, 0.0, 5.0])]
+    rows += [(5 + i, [1.0, 0.0, 1e-3 * i, 0.5]) for i in range(2)] + [(None, [0.0, 0.0, 5.1])]
+    got = rows_of(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == brute_links(rows) and [r[1] for r in got if r[0] in (2, 3, 4)] == [1, 2, 1]
+
+
+def test_forest_is_bounded():
+    sample = np.random.default_rng(3).standard_normal((2000, 8))
+    forest = embedding_dedup.Forest(embedding_dedup._unit(sample), 20)
+    assert max(np.size(at) for tree in forest.thresholds for at in tree) == 1 << (embedding_dedup.SAMPLED - 1)
+    row, leaf = forest.leaves(embedding_dedup._unit(sample[:50]), 3)
+    table = forest.listed(embedding_dedup._unit(sample[:50]), 3)
+    assert {(r, v) for r, v in zip(row.tolist(), leaf.tolist(), strict=True)} == {(r, int(v)) for r in range(50) for v in table[r] if v >= 0}
+    assert leaf.min() >= 3 << 20 and leaf.max() < 4 << 20
+
+
 # Language
 
 
@@ -279,9 +298,90 @@ def test_mixing(spark, sf_dir, monkeypatch, run):
         assert {s: n for s, n in words.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+def test_rounding_keeps_mass_and_expectation():
+    """Each run of pairs: the words stay what they were, all but one document are whole, and each is taken as often as its fraction says."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    size, p, rounds = np.array([5.0, 1, 30, 7, 7, 2, 90, 3, 4, 11, 6]), np.array([0.3, 0.9, 0.5, 0.1, 0.7, 0.2, 0.6, 0.4, 0.8, 0.25, 0.5]), 4000
+    names = ["run", *[c.strip().split()[0] for c in mixing.ROW.split(",")]]
+    n, ends = len(size), np.zeros((rounds, len(size)))
+    column = {"run": np.repeat(np.arange(rounds), n), "tie": np.tile(np.arange(n), rounds), "doc_id": np.tile(np.arange(n), rounds), "row_hash": np.repeat(np.arange(rounds), n)}
+    column |= {"source": ["s"] * n * rounds, "size": np.tile(size.astype(int), rounds), "source_size": [1] * n * rounds, "target": [1.0] * n * rounds, "copies": np.zeros(n * rounds, np.int32)}
+    column |= {"p": np.tile(p, rounds), "u": [[x] for x in rng.random(n * rounds)]}
+    whole = pa.record_batch([pa.array(column[k]) for k in names], names=names)
+    batches = [whole.slice(at, 257) for at in range(0, len(whole), 257)]  # runs go on over batches
+    for out in mixing._rounded(0)(iter(batches)):
+        for r in out.to_pylist():
+            ends[r["row_hash"], r["doc_id"]] = r["copies"] + r["p"]
+    assert np.allclose(ends @ size, p @ size) and ((ends % 1 != 0).sum(axis=1) <= 1).all()
+    assert (np.abs(ends.mean(axis=0) - p) < 4 * np.sqrt(p * (1 - p) / rounds)).all()
+
+
+def test_mixing_draws_copies_one_by_one(spark):
+    rows = [(1, "w " * 10, None, "a", None, None, None)] * 3000 + [(2, "w " * 10, None, "b", None, None, None)] * 3000
+    got = mixing.plan(frame(spark, rows)).groupBy("doc_id", "target").agg({"copies": "sum", "*": "count"}).collect()
+    for r in got:  # 3,000 rows alike take about the target, not all or none
+        assert r["count(1)"] == 3000 and abs(r["sum(copies)"] * 10 - r["target"]) <= 10
+    assert mixing.mix(frame(spark, rows)).count() == sum(r["sum(copies)"] for r in got)
+
+
 # Importance resampling
 
 
+def plain_resampling(rows, good):
+    """The whole method in plain Python: n-grams to places, two models, summed log ratios, Gumbel noise, the k largest."""
+    import math
+    import zlib
+
+    import xxhash
+
+    def places(text):
+        raw, out = (text or "").encode(), Counter()
+        hs = [zlib.crc32(w) for w in raw.split()]
+        out.update(h % importance.PLACES for h in hs)
+        out.update((((a * 0x9E3779B1) % 2**32 ^ (b * 0x85EBCA6B) % 2**32) >> 7) % importance.PLACES for a, b in zip(hs, hs[1:], strict=False))
+        kind = [int(importance._CLASS[c]) for c in raw]
+        for a, b, c in zip(kind, kind[1:], kind[2:], strict=False):
+            out[importance.PLACES + (((a * 0x9E3779B1) % 2**32 ^ (b * 0x85EBCA6B) % 2**32 ^ (c * 0xC2B2AE35) % 2**32) >> 11) % importance.PLACES] += 1
+        return out
+
+    raw, target, each = Counter(), Counter(), [places(t) for _, t in rows]
+    for (key, _), found in zip(rows, each, strict=True):
+        raw.update(found)
+        target.update(found if key in good else {})
+    half = lambda place: place >= importance.PLACES
+    n, m = ([sum(v for k, v in c.items() if half(k) == f) for f in (False, True)] for c in (raw, target))
+    ratio = {}
+    for place, count in raw.items():
+        p = count / n[half(place)]
+        ratio[place] = math.log((target[place] + importance.PLACES * p) / (m[half(place)] + importance.PLACES)) - math.log(p)
+    out = []
+    for (key, _), found in zip(rows, each, strict=True):
+        score = sum(c * ratio[place] for place, c in found.items())
+        h = xxhash.xxh64_intdigest(b"gumbel", 42)
+        h = h if key is None else xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), h)
+        out.append((key, score, score - math.log(-math.log(((h >> 12) + 0.5) * 2.0**-52))))
+    k = sum(s >= -importance.MARGIN for _, s, _ in out)
+    least = sorted((v for _, _, v in out), reverse=True)[k - 1]
+    return sorted((key, round(s, 6), v >= least) for key, s, v in out)
+
+
+def test_importance_equals_the_plain_method(spark):
+    rng = np.random.default_rng(8)
+    clean, noise = [f"word{i}" for i in range(60)], [f"x#{i}$" for i in range(60)]
+    text = lambda share: " ".join(rng.choice(clean if rng.random() < share else noise) for _ in range(int(rng.integers(1, 12))))
+    rows = [(i, text(0.95 if i % 3 else 0.3)) for i in range(600)] + [(1000, ""), (1001, None)]
+    good = {i for i in range(600) if i % 3 and i % 2}
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(0, 0)], "doc_id long, quality int")
+    df = frame(spark, [(k, t, None, None, None, None, None) for k, t in rows])
+    got = sorted((r["doc_id"], round(r["score"], 6), r["kept"]) for r in importance.classify(df, labels).collect())
+    want = plain_resampling(rows, good)
+    assert got == want
+    assert any(kept != (score >= -importance.MARGIN) for _, score, kept in got)  # the noise decides near the border
+    assert {r["doc_id"] for r in importance.keep(df, labels).collect()} == {k for k, _, kept in want if kept}
+
+
 def test_importance_on_the_table(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
     met = importance.classify(docs, labels).join(labels, "doc_id")

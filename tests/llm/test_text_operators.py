@@ -52,6 +52,18 @@ def test_long_words_contract_alike(monkeypatch):
     assert own.encode_words(words) == short
 
 
+def test_bpe_of_long_words_is_bounded(monkeypatch):
+    own = bpe.Coder(RANKS, P.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rnd = np.random.default_rng(4)
+    spaced = " ".join("".join(map(chr, rnd.integers(97, 123, 480))) for _ in range(60))
+    unspaced = "".join(map(chr, rnd.integers(0x4E00, 0x9000, 60_000)))
+    monkeypatch.setattr(bpe, "ROOM", 1 << 20)
+    assert max(map(len, bpe._dealt([b"x" * 480] * 60))) == (1 << 20) // 480**2
+    for text, (n, said, back) in zip([spaced, unspaced], own.code([spaced, unspaced]), strict=True):
+        assert list(map(int, said.split())) == plain.encode_ordinary(text) and back == text.encode() and n == len(said.split())
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
@@ -72,6 +84,13 @@ def test_quality_counts_equal_brute_force(spark, sf_dir):
         assert judged.where("base_failed and kept").count() == 0
 
 
+def test_quality_hosts_act_on_the_table(spark):
+    judged = quality_rules.judge(table(spark, "/root/testdata/sf0.01", "documents"))
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    gone = judged.where("not kept and not base_failed")
+    assert gone.count() > 0 and gone.join(labels.where("quality = 1"), "doc_id").count() == 0  # hosts act, on no clean document
+
+
 def test_quality_verdicts(spark):
     good, noisy = " ".join(f"word{i}" for i in range(40)), " ".join(f"word{i}###" for i in range(40))
     rows = [(i, noisy if i % 10 else good, None, "bad", None, None, None) for i in range(200)]
@@ -117,9 +136,10 @@ def test_simhash_equals_brute_force(spark, sf_dir):
         assert rows_of(simhash.near_duplicates(df)) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("pairs", [1 << 20, 50])
-def test_simhash_links_planted_flips(spark, monkeypatch, pairs):
+@pytest.mark.parametrize(("pairs", "block"), [(1 << 20, 8192), (50, 8192), (1 << 20, 60)])
+def test_simhash_links_planted_flips(spark, monkeypatch, pairs, block):
     monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rnd = np.random.default_rng(3)
     centres = [int(x) for x in rnd.integers(0, 2**63, 300)]
     prints = list(centres)
@@ -153,8 +173,8 @@ def test_components(spark):
 
 def test_token_file_equals_the_library(spark, sf_dir, monkeypatch):
     own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
-    for rows, df in sources(spark, sf_dir):
+    special = [(1, "a<|endoftext|>b <|endoftext|>\nx<|endoftext|>", "s"), (2, "<|endoftext|>", "s"), (3, "a <|endof text|>", "s")]
+    for rows, df in [*sources(spark, sf_dir), (special, frame(spark, [(k, t, None, s, None, None, None) for k, t, s in special]))]:
         start, want = 0, []
         for key, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
             ids = [*own.encode(text or "", add_special_tokens=False).ids, 2]
@@ -176,6 +196,19 @@ def test_token_file_keyed_access(spark, tmp_path, monkeypatch):
         keys = [0, 5, 33, 70, 10**9, -(2**63)]
         got = {r["key"]: r["ids"] for r in token_file.lookup(spark, path, keys).collect()}
         assert got == {k: [*own.encode(text[k] or "", add_special_tokens=False).ids, 2] for k in keys if k in text}
+        assert [r["key"] for r in token_file.lookup(spark, path, [None, 10**9]).collect()] == [None]
+        assert {r["key"] for r in token_file.lookup(spark, path, list(range(-500, 500))).collect()} == set(text)
+
+
+def test_fingerprints_refuse_absent_keys(monkeypatch):
+    docs = [(None, b"\1\0"), (None, b"\2\0"), (-(2**63), b"\3\0"), *((k, bytes([k, 0])) for k in range(5, 200, 3) for _ in range(2))]
+    shard = token_file.Shard(token_file.pack(docs, 2))
+    assert [(k, ids.tolist()) for k, _, ids in shard.documents()] == [(k, [raw[0]]) for k, raw in docs]
+    assert [k for k in range(-300, 300) if shard.find(k) is not None] == list(range(5, 200, 3)) and shard.find(5, 1) is not None and shard.find(5, 2) is None
+    keys = np.arange(10**6, 10**6 + 5000)
+    h = token_file._hash(keys, np.zeros(5000, np.int64))
+    at = token_file._slot(h, shard.seeds[(h % np.uint64(len(shard.seeds))).astype(np.int64)], shard.n)
+    assert (shard.prints[at] == (h >> np.uint64(32)).astype(np.uint32)).sum() == 0  # the stored fingerprint alone refuses them
 
 
 def test_index_is_perfect_and_minimal():
