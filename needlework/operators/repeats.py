@@ -90,7 +90,7 @@ def _cut(keys: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
         yield own, held
 
 
-def _suffixes(data: np.ndarray, ends: np.ndarray, enough: int = 2**62) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, ends: np.ndarray, enough: int = 2**62) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order, common prefix with the one before) of the haystacks that end at ``ends`` in ``data``, one after the other.
 
     Suffixes that share ``enough`` symbols may stay in any order; common prefixes are held there.
@@ -165,7 +165,7 @@ def longest(hays: DataFrame, min_len: int = 4) -> DataFrame:
             texts = [(t.as_py() or "").encode("utf-32-le", "surrogatepass") for t in batch.column(1)]
             for keys, some in _cut(batch.column(0).to_pylist(), texts):
                 ends = np.cumsum([len(t) // 4 for t in some])
-                common = _suffixes(np.frombuffer(b"".join(some), np.uint32), ends)[1]
+                common = suffix_order(np.frombuffer(b"".join(some), np.uint32), ends)[1]
                 out = np.zeros(len(some), np.int64)
                 full = np.flatnonzero(np.diff(np.r_[0, ends]))
                 if len(full):
@@ -175,7 +175,7 @@ def longest(hays: DataFrame, min_len: int = 4) -> DataFrame:
     return spread(hays.select(F.col("hay_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "hay_id long, len long")
 
 
-def _intervals(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def lcp_intervals(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, size, length, parent length) of the LCP intervals of length ``least`` or more: the suffixes at first..first+size-1 share length characters."""
     held = np.where(common >= least, common, 0)
     held[:1] = 0
@@ -211,8 +211,8 @@ def find_all_repeats(texts: list[bytes], options: Options) -> list[list[tuple[in
     The last of several places goes to the longest repeat if est_lin leaves it out.
     """
     ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
-    order, common = _suffixes(np.frombuffer(b"".join(texts), np.uint8), ends, options.max_len)
-    first, size, length, parent = _intervals(common, max(1, options.min_len)) if len(order) else [np.zeros(0, np.int64)] * 4
+    order, common = suffix_order(np.frombuffer(b"".join(texts), np.uint8), ends, options.max_len)
+    first, size, length, parent = lcp_intervals(common, max(1, options.min_len)) if len(order) else [np.zeros(0, np.int64)] * 4
     whose = np.searchsorted(ends, first, side="right")  # suffixes of a haystack are as many as its bytes, in the same places
     n = np.diff(np.r_[0, ends])[whose]
     length = np.minimum(length, np.minimum(options.max_len, n // 2))

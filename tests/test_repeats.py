@@ -121,9 +121,9 @@ def test_suffixes_of_several_haystacks():
             common += [0 if not j else next((k for k in range(len(t)) if t[i + k : i + k + 1] != t[own[j - 1] + k : own[j - 1] + k + 1]), 0) for j, i in enumerate(own)]
             base += len(t)
         data, ends = repeats.np.frombuffer(b"".join(texts), "u1"), repeats.np.cumsum([len(t) for t in texts])
-        got = repeats._suffixes(data, ends)
+        got = repeats.suffix_order(data, ends)
         assert got[0].tolist() == order and got[1].tolist() == common
-        assert repeats._suffixes(data, ends, 5)[1].tolist() == [min(5, x) for x in common]
+        assert repeats.suffix_order(data, ends, 5)[1].tolist() == [min(5, x) for x in common]
 
 
 def test_repeats_of_bytes(spark):
