@@ -1,33 +1,35 @@
-"""Main text of pages: structural roles, and the repeated token suffixes of a host.
+"""Main text of pages: the roles of elements, and the repeated substrings of a host's suffix array.
 
 A page is cut into blocks, each with the role its elements give it: chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), article (inside ``article`` or ``main``) or other.  Chrome
-goes.  What is left is judged against the other pages of the host by its suffixes: a block's suffixes are
-taken to their first ``DEPTH`` tokens (all of a shorter block), the depth up to which boilerplate needs
-order; suffixes that agree there meet, and a run that spans distinct pages is a repeated substring.
-Longer repeats are covered by the suffixes that follow.
-
-Blocks outside an article lose the tokens that repeated runs cover; what is unique stays.  Blocks of an
-article lose the tokens of runs that over half of the host's pages (five at least) carry: articles may
-share passages, and those belong to the text.  A page of which nothing unique would remain is a copy, and
-keeps its blocks.
+goes.  What is left is judged against the other pages of its host: the blocks' tokens, page after page, make
+one stream; its suffixes are sorted, and neighbours that share a long prefix are a repeated substring.
+A substring counts if it has ``DEPTH`` tokens or is a whole block, and if it is on over a share of the host's
+pages: ``COMMON_SHARE`` and ``COMMON_PAGES`` at least to go from articles, which may share passages, and
+``OTHER_SHARE`` and two pages at least to go from other blocks.  Runs are held as text, never as hashes.  The tokens
+that they cover go; what is unique stays.  A page of which nothing unique would remain is a copy, and keeps
+its blocks.
 
 Pages of a host whose text is equal, or that share most of it, are one group and count once: a group
 is judged by one page.  Equal texts meet by a hash; near copies by bands of a min-hash sketch of the
 token windows, each held against the first page of its band, so a group of G pages costs G rows.
 
-The suffixes outside articles are spread by their tokens, those of articles by groups of the host's
-pages, so no task holds a host; runs are counted by pre-aggregation.
+The pages of a host are dealt into groups of about ``GROUP``, and each group has a suffix array of its own, so no
+task holds a host.  A substring on over a share of all pages is on over that share of some group's, so the
+groups find every one; where a host has several groups, the pages that hold each are then counted exactly, by
+pre-aggregation, a window of ``DEPTH`` tokens at a time: a run is covered by its windows, and is as common as
+they are.
 
-Defined results: null or empty html gives the empty text; a null url is the host ''; repeated rows give
-the same text and count as one page; an empty table gives an empty result; other columns are ignored.
+Defined results: null or empty html gives the empty text; a null url is the host ''; very long pages are taken
+whole, in time linear in their markup however broken; repeated rows give the same text and count as one page;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator, Set
 
 import numpy as np
@@ -36,13 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needlework.llm.common import connected_components, only, stage
+from needlework.llm.common import connected_components, drop, only, stage
 from needlework.llm.url_filter import host_and_path
+from needlework.operators.repeats import lcp_intervals, suffix_order
+from needlework.plans.layout import spread
 
+#: Tokens of a repeated substring at least, unless it is a whole block.
 DEPTH = 8
-COMMON_PAGES = 5
-COMMON_SHARE = 0.5
-#: Pages of a host that look for common article runs together.
+#: Over what share of a host's pages, and on how many at least, a run of an article, or of another block, is boilerplate.
+COMMON_SHARE, COMMON_PAGES = 0.5, 5
+OTHER_SHARE, OTHER_PAGES = 0.2, 2
+#: Pages of a host that share a suffix array.
 GROUP = 64
 #: Places of a page's sketch, those of a band, and how many must agree for near copies: 0.55 of the windows in either.
 SKETCH, BAND = 64, 4
@@ -50,9 +56,10 @@ AGREE = 36
 
 CHROME, ARTICLE, OTHER = 0, 1, 2
 
+#: Possessive throughout: what does not match is never tried again, so broken markup costs its length.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+'))*+[^>\"']*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -96,6 +103,12 @@ PLAIN = {
 }
 #: Elements whose names are their own slugs, or that hold a page's text.
 NAMELESS = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Inside an article only these are chrome by a name, and only if all of it says so; its ids are often slugs, so of them only these words do.
+CONTAINERS = {"div", "section", "ul", "ol", "p", "span"}
+INNER_IDS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "commentlist", "disqus", "respond", "newsletter", "cookie", "cookies"}
+#: End tags inside these do not reach what is outside, but for those of the second kind.
+FENCES = {"article", "main", "body", "td", "th"}
+OVER_FENCES = {"article", "main", "body", "html", "table", "tr", "section", "div"}
 #: Opening one of these ends an open paragraph.
 ENDS_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -136,8 +149,11 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> int:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if not found and tag not in NAMELESS and any(_is_role(v, name == "id", inside) for v in value.split()):
-                found = BY_NAME
+            if found or tag in NAMELESS or inside and tag not in CONTAINERS:
+                continue
+            for v in value.split():
+                if _is_role(v, inside or name == "id", inside) and (name == "class" or not inside or INNER_IDS & set(_NAME.findall(v.lower()))):
+                    found = BY_NAME
         elif name == "role" and value.strip().lower() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return BY_KIND
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
@@ -155,11 +171,54 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     return _blocks(html or "", around)[0] if around else found
 
 
+class _Open:
+    """The open elements, with the places of each kind, so that an end tag finds its element without a search."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, int, bool, int]] = []  # element, how it or one around it is chrome, is in an article, its place if named
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.fences: list[int] = []
+        self.solid: list[int] = []  # those that are not inline
+        self.named: list[int] = []
+
+    def push(self, tag: str, chrome: int, inside: bool, named: int) -> None:
+        at = len(self.rows)
+        self.rows.append((tag, chrome, inside, named))
+        self.places[tag].append(at)
+        if tag in FENCES:
+            self.fences.append(at)
+        if tag not in INLINE:
+            self.solid.append(at)
+        if named:
+            self.named.append(at)
+
+    def cut(self, upto: int) -> None:
+        """Close the element at ``upto`` and all inside it."""
+        while len(self.rows) > upto:
+            tag, _, _, named = self.rows.pop()
+            self.places[tag].pop()
+            if tag in FENCES:
+                self.fences.pop()
+            if tag not in INLINE:
+                self.solid.pop()
+            if named:
+                self.named.pop()
+
+    def top(self) -> tuple[str, int, bool, int]:
+        return self.rows[-1] if self.rows else ("", 0, False, 0)
+
+    def ended_by(self, tag: str) -> int | None:
+        """The place of the element that this end tag closes."""
+        at = self.places[tag][-1] if self.places.get(tag) else None
+        if at is None or self.fences and self.fences[-1] > at and tag not in OVER_FENCES:
+            return None  # a stray end tag does not leave a fence
+        return at
+
+
 def _blocks(html: str, exempt: frozenset[int]) -> tuple[list[tuple[int, str]], frozenset[int]]:
     """The blocks, and the places of the elements to exempt; names do not count for elements at ``exempt``."""
     found: list[tuple[int, str]] = []
-    open_: list[tuple[str, int, bool, int]] = []  # element, how it or one around it is chrome, is an article, its place if named
-    held: list[str] = []
+    open_, held = _Open(), []
     plain, around = False, set()
 
     def close() -> None:
@@ -167,17 +226,17 @@ def _blocks(html: str, exempt: frozenset[int]) -> tuple[list[tuple[int, str]], f
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                found.append((ARTICLE if open_ and open_[-1][2] else OTHER, text))
+                found.append((ARTICLE if open_.top()[2] else OTHER, text))
 
     def leave(upto: int) -> None:
         close()
-        del open_[upto:]
+        open_.cut(upto)
 
     at, lower = 0, None
     while True:
         m = _TAG.search(html, at)
         upto = m.start() if m else len(html)
-        if upto > at and not (open_ and open_[-1][1]):
+        if upto > at and not open_.top()[1]:
             held.append(html[at:upto])
         if m is None:
             break
@@ -188,29 +247,22 @@ def _blocks(html: str, exempt: frozenset[int]) -> tuple[list[tuple[int, str]], f
         shut, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag == "br":
             held.append(" ")
+        elif shut and tag in INLINE:
+            if open_.top()[0] == tag:
+                open_.cut(len(open_.rows) - 1)
         elif shut:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    if tag in INLINE:
-                        if k == len(open_) - 1:
-                            open_.pop()
-                    else:
-                        leave(k)
-                    break
-                if open_[k][0] in ("article", "main", "body", "td", "th") and tag not in ("article", "main", "body", "html", "table", "tr", "section", "div"):
-                    break  # a stray end tag does not leave these
-            else:
-                if tag not in INLINE:
-                    close()
+            ended = open_.ended_by(tag)
+            if ended is not None:
+                leave(ended)
+            elif not open_.places.get(tag):
+                close()
         elif tag in RAW:
             if tag not in INLINE:
                 close() if tag not in ("script", "style", "noscript", "template") else None
             lower = lower or html.lower()
             end = lower.find(f"</{tag}", at)
-            if end < 0 and len(lower) != len(html):  # lower-casing may change lengths
+            if len(lower) != len(html):  # lower-casing may change lengths
                 end = next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(html, at)), -1)
-            elif end >= 0 and len(lower) != len(html):
-                end = next(x.start() for x in re.compile(f"</{tag}", re.I).finditer(html, at))
             at = len(html) if end < 0 else end
         elif tag in VOID:
             if tag not in INLINE:
@@ -219,16 +271,12 @@ def _blocks(html: str, exempt: frozenset[int]) -> tuple[list[tuple[int, str]], f
             if tag not in INLINE:
                 close()
                 if tag in ENDS_P:
-                    for k in range(len(open_) - 1, -1, -1):
-                        if open_[k][0] == "p":
-                            leave(k)
-                            break
-                        if open_[k][0] not in INLINE:
-                            break
+                    if open_.solid and open_.rows[open_.solid[-1]][0] == "p":
+                        leave(open_.solid[-1])
                 elif tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                    if open_ and open_[-1][0] == tag:
-                        leave(len(open_) - 1)
-            above = open_[-1] if open_ else ("", 0, False, 0)
+                    if open_.top()[0] == tag:
+                        leave(len(open_.rows) - 1)
+            above = open_.top()
             inside = above[2] or tag in ("article", "main")
             own = _is_chrome(tag, attributes, above[2])
             own = 0 if own == BY_NAME and at in exempt else own
@@ -236,12 +284,16 @@ def _blocks(html: str, exempt: frozenset[int]) -> tuple[list[tuple[int, str]], f
             if tag in ("article", "main") and chrome == 0:
                 plain = True
             elif tag in ("article", "main") and chrome == BY_NAME:
-                around.update(e[3] for e in open_ if e[3])
+                for k in reversed(open_.named):
+                    place = open_.rows[k][3]
+                    if place in around:
+                        break  # those around it are there too
+                    around.add(place)
             if tag in INLINE and chrome == above[1]:
                 continue  # inline elements matter only where they hide their text
             if attributes.rstrip().endswith("/") and tag in INLINE:
                 continue
-            open_.append((tag, chrome, inside, at if own == BY_NAME else 0))
+            open_.push(tag, chrome, inside, at if own == BY_NAME else 0)
     close()
     return found, frozenset() if plain else frozenset(around)
 
@@ -250,14 +302,21 @@ def _key(tokens: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _windows(tokens: list[str]) -> list[int]:
-    """Keys of the runs of DEPTH tokens, or of all tokens if there are no more."""
-    return [_key(tokens[i : i + DEPTH]) for i in range(max(1, len(tokens) - DEPTH + 1))]
+#: Stand before and after a block's tokens, so that a whole block is told from a run inside a longer one.
+BEGIN, END = "\ue000", "\ue001"
+
 
+def windows(text: str) -> list[str]:
+    """The runs of DEPTH tokens of a block, or the whole block between its marks if it has fewer."""
+    tokens = text.split(" ")
+    if len(tokens) < DEPTH:
+        return [f"{BEGIN} {text} {END}"]
+    return [" ".join(tokens[i : i + DEPTH]) for i in range(len(tokens) - DEPTH + 1)]
 
-def suffixes(found: list[tuple[int, str]], role: int) -> set[int]:
-    """The keys of the suffixes of a page's blocks of one role, to DEPTH tokens."""
-    return {k for r, text in found if r == role for k in _windows(text.split(" "))}
+
+def windows_of(runs: list[str]) -> set[str]:
+    """What covers the runs: the windows of the long ones, and the whole blocks."""
+    return {w for run in runs for w in ([run] if run.startswith(BEGIN) else windows(run))}
 
 
 _FACTORS, _TERMS = np.random.default_rng(42).integers(1, 2**63, (2, SKETCH, 1), dtype=np.uint64) | np.uint64(1)
@@ -266,53 +325,112 @@ _FACTORS, _TERMS = np.random.default_rng(42).integers(1, 2**63, (2, SKETCH, 1),
 def content(found: list[tuple[int, str]]) -> tuple[int, list[int]]:
     """A hash of a page's blocks, and the sketch of their token windows."""
     texts = [text for _, text in found]
-    windows = np.array([k + 2**63 for k in {k for text in texts for k in _windows(text.split(" "))}], np.uint64)
+    hashed = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in {w for text in texts for w in windows(text)}], np.uint64)
     lows = np.full((SKETCH, 1), 2**64 - 1, np.uint64)
-    for at in range(0, len(windows), 1 << 14):
-        lows = np.minimum(lows, (windows[at : at + (1 << 14)] * _FACTORS + _TERMS).min(axis=1, keepdims=True))
+    for at in range(0, len(hashed), 1 << 14):
+        lows = np.minimum(lows, (hashed[at : at + (1 << 14)] * _FACTORS + _TERMS).min(axis=1, keepdims=True))
     return _key(texts), (lows[:, 0] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
-def unique_text(found: list[tuple[int, str]], repeated: Set[int], common: Set[int] = frozenset()) -> str:
-    """The blocks without what the keys cover (``repeated``: outside an article, ``common``: inside), joined by two line feeds."""
+def unique_text(found: list[tuple[int, str]], repeated: Set[str], common: Set[str] = frozenset()) -> str:
+    """The blocks without what the windows cover (``repeated``: outside an article, ``common``: inside), joined by two line feeds."""
     if repeated or common:
         kept = []
         for role, text in found:
-            tokens = text.split(" ")
-            keys = common if role == ARTICLE else repeated
-            if not keys or len(tokens) <= DEPTH:
-                left = [] if _key(tokens) in keys else tokens
-            else:
+            gone = common if role == ARTICLE else repeated
+            own = windows(text)
+            if gone.isdisjoint(own):
+                kept.append((role, text))
+            elif len(own) > 1 or not own[0].startswith(BEGIN):
+                tokens = text.split(" ")
                 covered = [False] * len(tokens)
-                for i in range(len(tokens) - DEPTH + 1):
-                    if _key(tokens[i : i + DEPTH]) in keys:
+                for i, window in enumerate(own):
+                    if window in gone:
                         covered[i : i + DEPTH] = [True] * DEPTH
                 left = [t for t, c in zip(tokens, covered, strict=True) if not c]
-            if left:
-                kept.append((role, " ".join(left)))
+                if left:
+                    kept.append((role, " ".join(left)))
         found = kept or found  # nothing unique: the page is a copy
     return "\n\n".join(text for _, text in found)
 
 
-def index(rows: DataFrame) -> DataFrame:
-    """(uid, host, content, sketch, keys) of the pages of (uid, host, html) that have text; keys are those outside articles."""
+def _enough(n, pages, share: float, least: int):
+    """Whether n of so many pages make a run boilerplate."""
+    return (n >= least) & (n > share * pages)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def repeated_runs(group: list[list[tuple[int, str]]], all_pages: int) -> tuple[set[str], set[str]]:
+    """(runs to go from other blocks, runs to go from articles) of a group of pages of one host, by its suffix array.
+
+    The tokens of all blocks make one stream; a mark that occurs once ends each block, so no run goes on
+    into the next.  An interval of the suffix array is a substring with all its places.  The longest
+    that enough pages hold is kept at each place, unless it only continues the one a token before.  Of a
+    host of several groups (``all_pages`` over the group's) shares alone decide: the least numbers of pages are
+    held against the exact counts later.
+    """
+    names: dict[str, int] = {}
+    code, page, marks, words = [], [], 0, []
+    for k, found in enumerate(group):
+        for _, text in found:
+            tokens = [BEGIN, *text.split(" "), END]
+            words += [*tokens, ""]
+            code += [names.setdefault(t, len(names)) for t in tokens]
+            marks -= 1
+            code.append(marks)
+            page += [k] * (len(tokens) + 1)
+    if not code:
+        return set(), set()
+    data, page = np.array(code, np.int64), np.array(page)
+    pages, whole = len(group), all_pages <= len(group)
+    order, common = suffix_order(data, np.array([len(data)]))
+    out = []
+    for share, least in ((OTHER_SHARE, OTHER_PAGES), (COMMON_SHARE, COMMON_PAGES)):
+        longest = np.zeros(len(data), np.int64)
+        for first, size, length, _ in zip(*(x.tolist() for x in lcp_intervals(common, 3)), strict=True):
+            begin = int(order[first])
+            is_block = words[begin] == BEGIN and words[begin + length - 1] == END
+            tokens = length - (words[begin] == BEGIN) - (words[begin + length - 1] == END)
+            if size < 2 or not is_block and tokens < DEPTH or whole and size < least or size <= share * pages:
+                continue
+            places = order[first : first + size]
+            if _enough(len(np.unique(page[places])), pages, share, least if whole else 1):
+                longest[places] = np.maximum(longest[places], length)
+        starts = np.flatnonzero((longest > 0) & (longest > np.r_[0, longest[:-1] - 1]))
+        runs = set()
+        for at in starts.tolist():
+            run = words[at : at + int(longest[at])]
+            if not (run[0] == BEGIN and run[-1] == END and len(run) < DEPTH + 2):
+                run = [t for t in run if t not in (BEGIN, END)]
+            runs.add(" ".join(run))
+        out.append(runs)
+    return out[0], out[1]
+
+
+PARSED = "uid long, page_id long, url string, host string, content long, sketch array<int>, roles array<int>, texts array<string>"
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """The pages as blocks, staged: PARSED; a page without text has no content and no sketch."""
+    host, _ = host_and_path(F.col("url"))
+    rows = spread(only(pages, page_id="long", url="string", html="string")).select(
+        F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", F.coalesce(host, F.lit("")).alias("host"), "html"
+    )
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, own, hashes, sketches, keys = [], [], [], [], []
-            for u, h, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = blocks(html)
-                if found:
-                    hashed, lows = content(found)
-                    uid.append(u)
-                    own.append(h)
-                    hashes.append(hashed)
-                    sketches.append(lows)
-                    keys.append(sorted(suffixes(found, OTHER)))
-            columns = [pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(hashes, pa.int64()), pa.array(sketches, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["uid", "host", "content", "sketch", "keys"])
-
-    return stage(rows.mapInArrow(sketch, "uid long, host string, content long, sketch array<int>, keys array<long>"), "html-suffixes")
+            hashes, sketches, roles, texts = [], [], [], []
+            for html in batch.column("html"):
+                found = blocks(html.as_py())
+                hashed, lows = content(found) if found else (None, None)
+                hashes.append(hashed)
+                sketches.append(lows)
+                roles.append([r for r, _ in found])
+                texts.append([t for _, t in found])
+            columns = [pa.array(c, k) for c, k in zip((hashes, sketches, roles, texts), kinds, strict=True)]
+            yield pa.record_batch([*batch.columns[:4], *columns], names=["uid", "page_id", "url", "host", "content", "sketch", "roles", "texts"])
+
+    return stage(rows.mapInArrow(run, PARSED), "html-parsed")
 
 
 def copies(indexed: DataFrame) -> DataFrame:
@@ -335,78 +453,91 @@ def copies(indexed: DataFrame) -> DataFrame:
     return stage(same.distinct(), "html-copies")
 
 
-def common_runs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(host, common): the keys of the article suffixes that over COMMON_SHARE of a host's pages (COMMON_PAGES at least) carry.
+def _found(roles, texts) -> list[tuple[int, str]]:
+    return list(zip(roles, texts, strict=True))
 
-    ``rows`` (uid, host, html) has one page for each group, ``sizes`` (host, pages) counts them.  The pages of
-    a host are dealt into groups of about GROUP.  A run on over a share of all pages is on over that share in
-    some group, so what groups find locally holds every such run; a second pass counts those exactly.
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """(host, other, article): the runs of each host that go from other blocks and from articles.
+
+    ``pages`` (uid, host, roles, texts) has one page for each group of copies.
     """
+    sizes = stage(pages.select("uid", "host").distinct().groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1"), "html-sizes")
+    part = F.pmod("uid", F.ceil(F.col("pages") / GROUP)).alias("part")
+    dealt = pages.join(sizes, "host").select("uid", "host", part, "pages", "roles", "texts").repartition("host", "part").sortWithinPartitions("host", "part")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen, counts = None, set(), Counter()
+        key, seen, group, total = None, set(), [], 0
 
-        def frequent() -> pa.RecordBatch:
-            keys = [k for k, n in counts.items() if n > COMMON_SHARE * len(seen)]
-            return pa.record_batch([pa.array([group[0]] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
+        def runs() -> pa.RecordBatch:
+            if len(group) < total and OTHER_SHARE * len(group) < 1:  # so small a group that one page is over the share: all of it is to be counted
+                other = article = {w for found in group for _, text in found for w in windows(text)}
+            else:
+                other, article = repeated_runs(group, total)
+            rows = [(key[0], r, r in other, r in article) for r in sorted(other | article)]
+            if len(group) < total:  # to be counted a window at a time
+                windowed = [{w for run in own for w in windows_of([run])} for own in (other, article)]
+                rows = [(key[0], w, w in windowed[0], w in windowed[1]) for w in sorted(windowed[0] | windowed[1])]
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["host", "run", "other", "article"])
 
         for batch in batches:
-            for u, h, part, html in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (h, part) != group:
-                    if counts:
-                        yield frequent()
-                    group, seen, counts = (h, part), set(), Counter()
-                if u not in seen and (found := blocks(html)):
-                    seen.add(u)
-                    counts.update(suffixes(found, ARTICLE))
-        if counts:
-            yield frequent()
+            for uid, host, p, n, roles, texts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (host, p) != key:
+                    if group:
+                        yield runs()
+                    key, seen, group, total = (host, p), set(), [], n
+                if uid not in seen:
+                    seen.add(uid)
+                    group.append(_found(roles, texts))
+        if group:
+            yield runs()
+
+    found = stage(dealt.mapInArrow(local, "host string, run string, other boolean, article boolean"), "html-runs")
+    maybe = found.groupBy("host", "run").agg(F.max("other").alias("other"), F.max("article").alias("article")).join(sizes, "host")
+    single = maybe.where(F.col("pages") <= GROUP)
+    wide = stage(maybe.where(F.col("pages") > GROUP).groupBy("host").agg(F.collect_list("run").alias("runs")), "html-maybe")
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, own, key = [], [], []
-            for u, h, html, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                found = suffixes(blocks(html), ARTICLE).intersection(keys)
-                uid += [u] * len(found)
-                own += [h] * len(found)
-                key += found
-            yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(key, pa.int64())], names=["uid", "host", "key"])
-
-    large = sizes.where(F.col("pages") >= COMMON_PAGES)
-    part = F.pmod("uid", F.ceil(F.col("pages") / GROUP)).alias("part")
-    dealt = rows.join(large, "host").select("uid", "host", part, "html").repartition("host", "part").sortWithinPartitions("host", "part")
-    maybe = stage(dealt.mapInArrow(local, "host string, key long").distinct().groupBy("host").agg(F.collect_list("key").alias("keys")), "html-maybe")
-    counted = rows.join(maybe, "host").select("uid", "host", "html", "keys").mapInArrow(carried, "uid long, host string, key long").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
-    common = counted.join(large, "host").where((F.col("n") >= COMMON_PAGES) & (F.col("n") > COMMON_SHARE * F.col("pages")))
-    return stage(common.groupBy("host").agg(F.collect_list("key").alias("common")), "html-common")
+            uid, own, run, held = [], [], [], (None, frozenset())
+            for u, h, texts, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if h != held[0]:
+                    held = (h, frozenset(runs.as_py()))
+                met = {w for text in texts for w in windows(text)} & held[1]
+                uid += [u] * len(met)
+                own += [h] * len(met)
+                run += met
+            yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(run, pa.string())], names=["uid", "host", "run"])
+
+    if not wide.isEmpty():
+        met = pages.join(wide, "host").select("uid", "host", "texts", "runs").mapInArrow(carried, "uid long, host string, run string")
+        counted = met.distinct().groupBy("host", "run").agg(F.count("*").alias("n")).join(sizes, "host")
+        other, article = _enough(F.col("n"), F.col("pages"), OTHER_SHARE, OTHER_PAGES), _enough(F.col("n"), F.col("pages"), COMMON_SHARE, COMMON_PAGES)
+        single = single.select("host", "run", "other", "article").union(counted.select("host", "run", other.alias("other"), article.alias("article")))
+    listed = lambda c: F.collect_list(F.when(F.col(c), F.col("run"))).alias(c)
+    out = stage(single.where("other or article").groupBy("host").agg(listed("other"), listed("article")), "html-boilerplate")
+    drop(found, sizes)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    host, _ = host_and_path(F.col("url"))
-    rows = only(pages, page_id="long", url="string", html="string").select(
-        "page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("uid"), F.coalesce(host, F.lit("")).alias("host")
-    )
-    indexed = index(rows.select("uid", "host", "html"))
-    gone = copies(indexed)
-    sorted_ = indexed.select("uid", "host", F.explode("keys").alias("key"))
+    parsed = parse(pages)
+    indexed = parsed.where("content is not null")
+    gone = copies(indexed.select("uid", "host", "content", "sketch"))
     # one page stands for its copies; repeated rows have one uid
-    runs = sorted_.join(gone, "uid", "left_anti").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
-    losing = stage(sorted_.join(runs.select("host", "key"), ["host", "key"]).groupBy("uid").agg(F.collect_set("key").alias("repeated")), "html-repeated")
-    sizes = stage(indexed.select("uid", "host").distinct().join(gone, "uid", "left_anti").groupBy("host").agg(F.count("*").alias("pages")), "html-sizes")
-    common = common_runs(rows.select("uid", "host", "html").join(gone, "uid", "left_anti"), sizes)
+    common = boilerplate(indexed.select("uid", "host", "roles", "texts").join(gone, "uid", "left_anti"))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = zip(*(batch.column(i).to_pylist() for i in (2, 3)), batch.column(4), strict=True)
-            held, out = (None, frozenset()), []
-            for html, repeated, keys in each:
-                keys = keys.as_py()
-                held = held if keys == held[0] else (keys, frozenset(keys or ()))
-                out.append(unique_text(blocks(html), set(repeated or ()), held[1]))
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-            )
-
-    met = rows.join(losing, "uid", "left").join(common, "host", "left").select("page_id", "url", "html", "repeated", "common")
+            held, out = (None, frozenset(), frozenset()), []
+            for host, roles, texts, other, article in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), batch.column(5), batch.column(6), strict=True):
+                if host != held[0]:
+                    held = (host, windows_of(other.as_py() or ()), windows_of(article.as_py() or ()))
+                out.append(unique_text(_found(roles, texts), held[1], held[2]))
+            columns = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
+            yield pa.record_batch(columns, names=["page_id", "url", "text", "n_chars"])
+
+    met = parsed.select("page_id", "url", "host", "roles", "texts").join(common, "host", "left").select("page_id", "url", "host", "roles", "texts", "other", "article")
     return met.mapInArrow(text, "page_id long, url string, text string, n_chars long")

@@ -99,6 +99,73 @@ def test_html_common_runs_inside_paragraphs(spark, monkeypatch, group):
     assert got == {i: f"{words(f'w{i}x', 30)}\n\n{words(f'v{i}x', 30)}{' ' + quoted if i < 10 else ''}" for i in range(20)}
 
 
+def test_html_broken_markup_costs_its_length():
+    import time
+
+    began = time.process_time()
+    for page in ("<p" * 500_000, "<!" * 500_000, "<div>" * 60_000 + "</p>" * 60_000, "<p><article>" + "<div>" * 60_000 + "</p>" * 60_000, '<a b="x\' c=\'>' * 60_000, "<b hidden>" * 40_000 + "<p>x</p>" * 40_000):
+        html_text.blocks(page)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h2 id='related-work'>a</h2><section id='navigation'>b</section><blockquote class='share'>c</blockquote><table class='related'><tr><td>d</td></tr></table><div class='social-history'>e</div></article>", "a b c d e"),
+        ("<article><p>a</p><div class='social-share'>x</div><div class='newsletter'>x</div><section id='comments'>x</section><div class='ad banner'>x</div><p>b</p></article>", "a b"),
+    ],
+)
+def test_html_names_inside_an_article(page, text):
+    assert html_text.unique_text(html_text.blocks(page), set()).split() == text.split()
+
+
+def plain_boilerplate(group):
+    """(runs to go from other blocks, from articles) as windows, by counting every window and block on every page."""
+    met = Counter(w for found in group for w in {w for _, text in found for w in html_text.windows(text)})
+    n = len(group)
+    return tuple({w for w, k in met.items() if k >= least and k > share * n} for share, least in ((html_text.OTHER_SHARE, html_text.OTHER_PAGES), (html_text.COMMON_SHARE, html_text.COMMON_PAGES)))
+
+
+def test_html_suffix_array_equals_counting():
+    rng = np.random.default_rng(9)
+    line = lambda n, k: " ".join(f"t{x}" for x in rng.integers(0, k, n))
+    for trial in range(40):
+        shared = [line(int(rng.integers(1, 30)), 50) for _ in range(4)]
+        group = []
+        for _ in range(int(rng.integers(2, 14))):
+            texts = [line(int(rng.integers(1, 20)), 3 if trial % 2 else 500) for _ in range(int(rng.integers(0, 5)))]
+            for s in shared:
+                if rng.random() < 0.6:
+                    texts.append(s if rng.random() < 0.5 else f"{line(3, 500)} {s} {line(2, 500)}")
+            group.append([(int(rng.integers(1, 3)), t) for t in texts])
+        got = [html_text.windows_of(sorted(runs)) for runs in html_text.repeated_runs(group, len(group))]
+        assert got == list(plain_boilerplate(group)), trial
+
+
+@pytest.mark.parametrize("size", [64, 5])
+def test_html_hosts_equal_counting(spark, monkeypatch, size):
+    """Whole hosts, of one group and of several, against counting in plain Python."""
+    monkeypatch.setattr(html_text, "GROUP", size)
+    rng = np.random.default_rng(10)
+    line = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 5000, n))
+    rows, hosts = [], defaultdict(list)
+    for host in range(3):
+        notes = [line(12), line(3), line(25), line(9)]
+        for i in range((4, 9, 23)[host]):
+            parts = [(line(40), "p") for _ in range(2)] + [(notes[k], "p") for k in range(4) if rng.random() < (0.9, 0.7, 0.5, 0.3)[k]]
+            inner, outer = parts[: len(parts) // 2 + 1], parts[len(parts) // 2 + 1 :]
+            page = "<article>" + "".join(f"<p>{t}</p>" for t, _ in inner) + "</article>" + "".join(f"<p>{t}</p>" for t, _ in outer)
+            rows.append((100 * host + i, f"http://h{host}.example/{i}", page))
+            hosts[host].append(html_text.blocks(page))
+    want, changed = {}, 0
+    for host, group in hosts.items():
+        other, article = plain_boilerplate(group)
+        for i, found in enumerate(group):
+            want[100 * host + i] = html_text.unique_text(found, other, article)
+            changed += want[100 * host + i] != html_text.unique_text(found, set())
+    assert texts_of(spark, rows) == want and changed > 10
+
+
 # URL filters
 
 
