@@ -9,8 +9,8 @@ inside each language.  A text gets the language of the centroid with the largest
 Rejection: a text farther from its centroid than all but ``REJECT`` of its language's training sample
 is marked ``rejected``; its prediction stays the nearest language, as the contract wants a learned one.
 
-Defined results: null text, or one without a letter, is ``und`` with score 0; rows with a null key or
-language are not learned from; with nothing to learn from every text is ``und``; repeated rows are
+Defined results: null text, or one without a letter, is ``und`` with score 0; very long texts are counted whole,
+in runs of ``BLOCK`` bytes; rows with a null key or language are not learned from; with nothing to learn from every text is ``und``; repeated rows are
 predicted one by one; other columns are ignored.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needlework.llm.common import only
+from needlework.plans.layout import spread
 
 DIM = 2048
 ORDERS = (1, 2, 3, 4)
@@ -121,7 +122,7 @@ def _document_counts(train: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(train: DataFrame, key: str = "doc_id") -> Model:
     """A model of (key, text, lang); null keys, texts and languages are left out."""
-    rows = only(train, **{key: "long", "text": "string", "lang": "string"}).where(f"{key} is not null and text is not null and lang is not null")
+    rows = spread(only(train, **{key: "long", "text": "string", "lang": "string"})).where(f"{key} is not null and text is not null and lang is not null")
     df, n = _document_counts(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
     per = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -130,14 +131,16 @@ def fit(train: DataFrame, key: str = "doc_id") -> Model:
         return Model(idf, [], np.zeros((0, DIM), np.float32), {})
     share = (SAMPLE / languages) / F.col("n")
     draw = F.pmod(F.xxhash64(F.lit("language sample"), key), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(F.broadcast(per) if languages <= SAMPLE else per, "lang").where(draw < share).select("lang", "text")
+    # a row a language: few enough to send, or else dealt out like the rows
+    sample = rows.join(F.broadcast(per) if languages <= SAMPLE else per, "lang").where(draw < share).select("lang", "text", F.xxhash64(F.lit("order"), key, "text").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(r["lang"], vector(r["text"], idf).tobytes()) for r in batch.to_pylist() if has_letter(r["text"])]
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.string()), pa.array([v for _, v in found], pa.binary())], names=["lang", "v"])
+            found = [(r["lang"], vector(r["text"], idf).tobytes(), r["place"]) for r in batch.to_pylist() if has_letter(r["text"])]
+            yield pa.record_batch([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["lang", "v", "place"])
 
-    drawn = sample.mapInArrow(run, "lang string, v binary").limit(2 * SAMPLE).collect()  # a bounded sample of labelled rows
+    # a bounded sample of labelled rows, the same in every run: more than SAMPLE only where keys repeat
+    drawn = sample.mapInArrow(run, "lang string, v binary, place long").orderBy("place", "lang", "v").limit(2 * SAMPLE).collect()
     labels, centres, floor = [], [], {}
     by_language: dict[str, list] = {}
     for lang, v in sorted((r["lang"], bytes(r["v"])) for r in drawn):
@@ -153,7 +156,7 @@ def fit(train: DataFrame, key: str = "doc_id") -> Model:
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score, rejected) of every whole text."""
-    rows = only(docs, **{key: "long", "text": "string"})
+    rows = spread(only(docs, **{key: "long", "text": "string"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needlework.llm.common import BLANK, WORD, stage
+from needlework.plans.layout import spread
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -86,7 +87,7 @@ def _repeat_words(words: Column) -> Column:
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The five counts of every document, with the columns ``keep``; one projection, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(*keep, text.alias("__text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__words"))
+    words = spread(docs.select(*keep, "text")).select(*keep, text.alias("__text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__words"))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
     return words.select(
         *keep,

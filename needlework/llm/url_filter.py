@@ -6,11 +6,13 @@ of blocked pages along the reversed links, for a page that points at bad hosts s
 Each host is then held against a threshold.  A host that neither reaches is allowed.
 
 Ranks are a row a host; every step is a join with the edges and a pre-aggregated sum, staged now and
-then.  Edges of a hub spread over its partners before they meet its rank: the join is plain, so
-adaptive execution may split it.
+then.  Steps go on until no new host is reached and no rank moves by more than ``TOLERANCE`` of all mass, or
+until ``STEPS`` of them have spread all but a billionth of it.  Edges of a hub spread over its partners before
+they meet its rank: the join is plain, so adaptive execution may split it.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; a null html
-has no links; repeated rows count again; an empty table gives an empty result; other columns are ignored.
+has no links; very long pages are searched whole, by one pass of a pattern; repeated rows count again; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from needlework.llm.common import only, stage
+from needlework.llm.common import drop, only, stage
+from needlework.plans.layout import spread as dealt
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path); the longest rule that fits a url decides.
@@ -31,8 +34,9 @@ RULES = (
 )
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
 DAMPING = 0.85
-STEPS = 20
-STAGE_EVERY = 5
+STEPS = 128
+STAGE_EVERY = 8
+TOLERANCE = 1e-12
 #: A host is blocked when its distrust is over this many times its trust.
 DISTRUST = 2.0
 
@@ -66,25 +70,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def spread(edges: DataFrame, seeds: DataFrame, total: int, value: str) -> DataFrame:
     """(host, value): personalised PageRank along (src, dst, n) from (host, mass), mass counted in shares of ``total``."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    moves = stage(edges.join(out, "src").select("src", "dst", (DAMPING * F.col("n") / F.col("total")).alias("share")), "url-moves")
+    # hosts are written anew before joins, so that both sides are dealt out for the join and a hub's links may be split
+    out = edges.groupBy("src").agg(F.sum("n").alias("total")).select(F.concat("src", F.lit("")).alias("at"), "total")
+    moves = stage(edges.join(out, edges["src"] == out["at"]).select("src", "dst", (DAMPING * F.col("n") / F.col("total")).alias("share")), "url-moves")
     start = stage(seeds.where("mass > 0").select("host", ((1 - DAMPING) * F.col("mass") / F.lit(float(total))).alias(value)), "url-seeds")
     if moves.isEmpty():
         return start
-    now = start
+    now, before = start, start
     for step in range(1, STEPS + 1):
-        # the host is written anew, so that both sides are dealt out for this join and a hub's links may be split
         ranked = now.select(F.concat("host", F.lit("")).alias("at"), value)
         moved = ranked.join(moves, ranked["at"] == moves["src"]).select(F.col("dst").alias("host"), (F.col(value) * F.col("share")).alias(value))
         now = start.union(moved).groupBy("host").agg(F.sum(value).alias(value))
         if step % STAGE_EVERY == 0:
             now = stage(now, "url-ranks")
+            both = now.join(before.select(F.col("host").alias("was"), F.col(value).alias("old")), F.col("host") == F.col("was"), "full")
+            new, most = both.agg(F.count_if(F.col("was").isNull()), F.max(F.abs(F.col(value) - F.col("old")))).first()
+            if before is not start:
+                drop(before)
+            if not new and (most or 0.0) <= TOLERANCE:
+                break
+            before = now
     return now
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page, with its host's trust and distrust."""
-    rows = only(pages, page_id="long", url="string", html="string")
+    rows = dealt(only(pages, page_id="long", url="string", html="string"))
     host, path = host_and_path(F.col("url"))
     located = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = _fitting(F.col("host"), F.col("path"), rules)
