@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+#: Paths staged inside each open ``scratch``.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +40,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; ``drop`` removes it again."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._needlework_path = path
@@ -56,6 +62,25 @@ def drop(*staged: DataFrame) -> None:
             del df._needlework_path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged meanwhile goes at the end: write the result elsewhere before, by ``write`` or inside ``kept``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``stage``, but not for the scratch that is open."""
+    staged = stage(df, label)
+    if _OPEN:
+        _OPEN[-1].remove(staged._needlework_path)
+    return staged
+
+
 def clean(spark: SparkSession) -> None:
     """Remove all that this application has staged, once its results are written elsewhere."""
     _delete(spark, f"{shared_dir(spark)}/needlework/{spark.sparkContext.applicationId}")

@@ -201,6 +201,23 @@ def test_memo_tables(spark, tmp_path):
     assert {r["hay_id"] for r in rows} == {0, 3} and len({(r["off"], r["len"], r["n"], bytes(r["sub"])) for r in rows}) * 2 == len(rows)
 
 
+def test_staged_tables_go(spark):
+    from pathlib import Path
+
+    from needlework.plans import staging
+
+    here = lambda df: Path(df._needlework_path.removeprefix("file://")).exists()
+    one = staging.stage(spark.range(3), "one")
+    with staging.scratch(spark):
+        two = staging.stage(spark.range(4), "two")
+        three = staging.kept(two, "three")
+        assert here(two)
+    assert not here(two) and here(one) and three.count() == 4
+    path = Path(one._needlework_path.removeprefix("file://"))
+    staging.drop(one, three, spark.range(2))
+    assert not path.exists() and not hasattr(three, "_needlework_path")
+
+
 def test_content_hash(spark):
     import xxhash
 
