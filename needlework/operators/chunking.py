@@ -38,12 +38,27 @@ def gear() -> np.ndarray:
 _GEAR = gear()
 
 
-def cuts(data: bytes, least: int = LEAST, most: int = MOST) -> list[int]:
+# fixed values: the shifts and the factor of the table that the search for repeats has for itself
+SHIFTS, FACTOR = (12, 25, 27), 0x2545F4914F6CDD1D
+
+
+def repeats_gear() -> np.ndarray:
+    """256 values: a shift-register sequence, each state multiplied on, and its index times the seed added; 64-bit, wrapping."""
+    wrap, state, out = 2**64 - 1, SEED, []
+    for i in range(256):
+        state ^= state >> SHIFTS[0]
+        state ^= state << SHIFTS[1] & wrap
+        state = (state ^ state >> SHIFTS[2]) * FACTOR & wrap
+        out.append(state + i * SEED & wrap)
+    return np.array(out, np.uint64)
+
+
+def cuts(data: bytes, least: int = LEAST, most: int = MOST, table: np.ndarray = _GEAR) -> list[int]:
     """Ends of the chunks of ``data``, the last one included."""
     n = len(data)
     if not n:
         return []
-    g = _GEAR[np.frombuffer(data, np.uint8)]
+    g = table[np.frombuffer(data, np.uint8)]
     low = np.zeros(n, np.uint64)
     for back in range(min(BITS, n)):  # the hash before position p sums the gears of p-1, p-2, ... shifted
         low[back:] += g[: n - back] << np.uint64(back)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needlework.functions import search
+from needlework.operators import chunking
 from needlework.plans.layout import spread
 
 
@@ -326,35 +327,72 @@ def _shared(data: str, a: int, b: int) -> int:
 
 
 def extend_pair(data: str, a: int, b: int, seed: int, max_len: int, backwards: str | None = None) -> tuple[int, int]:
-    """(off, len): two equal windows at a < b grown to the left and to the right, held at max_len from the left end."""
+    """(off, len): two equal windows at a < b, of text or of bytes, grown to the left and to the right, held at max_len from the left end."""
     back = data[::-1] if backwards is None else backwards
     left = _shared(back, len(data) - b, len(data) - a)
     right = seed + _shared(data, a + seed, b + seed)
     return a - left, min(max_len, left + right)
 
 
-def harvest(data: str, k: int, stride: int, options: Options) -> list[tuple[int, int, int, int, str]]:
-    """(off, len, count, est_lin, sub): the first two of every group of equal windows, extended, and a short prefix of each; counted and ranked."""
-    first: dict[str, int] = {}
-    pairs: dict[str, tuple[int, int]] = {}
-    for at in range(0, len(data) - k + 1, stride):
-        window = data[at : at + k]
+def _ranked(data, subs, options: Options) -> list[tuple]:
+    """(off, len, count, est_lin, sub) of the distinct substrings that occur often enough, the best first."""
+    rows = []
+    for sub in dict.fromkeys(subs):
+        length, count = len(sub), data.count(sub)
+        if count >= options.min_count and length >= options.min_len:
+            marker = options.base or 4 + 2 * (length >= 10) + (length >= 100)
+            rows.append((data.find(sub), length, count, max(-(2**31 - 1), min(2**31 - 1, length + len(data) - count * (length - marker))), sub))
+    return sorted(rows, key=lambda r: (r[3], -r[1], -r[2], r[4]))[: options.top_k]
+
+
+def _grown(data, windows: Iterator[tuple], options: Options):
+    """What the first two of every group of equal windows (content, place) grow to, and a short prefix of each."""
+    first: dict = {}
+    pairs: dict = {}
+    for window, at in windows:
         begin = first.setdefault(window, at)
         if begin != at:
             pairs.setdefault(window, (begin, at))
-    back, rows = data[::-1], {}
-    short = min(8, max(5, options.min_len))
-    for a, b in pairs.values():
-        off, length = extend_pair(data, a, b, k, options.max_len, back)
-        for fit in (length, short):
-            sub = data[off : off + fit]
-            if options.min_len <= fit <= length and sub not in rows:
-                marker = options.base or 4 + 2 * (fit >= 10) + (fit >= 100)
-                count = data.count(sub)
-                if count >= options.min_count:
-                    begin = data.find(sub)
-                    rows[sub] = (begin, fit, count, max(-(2**31 - 1), min(2**31 - 1, fit + len(data) - count * (fit - marker))), sub)
-    return sorted(rows.values(), key=lambda r: (r[3], -r[1], -r[2], r[4]))[: options.top_k]
+    back, short = data[::-1], min(8, max(5, options.min_len))
+    for window, (a, b) in pairs.items():
+        off, length = extend_pair(data, a, b, len(window), options.max_len, back)
+        yield data[off : off + length]
+        if short < length:
+            yield data[off : off + short]
+
+
+def harvest(data: str, k: int, stride: int, options: Options) -> list[tuple[int, int, int, int, str]]:
+    """(off, len, count, est_lin, sub): windows that repeat, extended beyond their grid; counted and ranked."""
+    return _ranked(data, _grown(data, ((data[at : at + k], at) for at in range(0, len(data) - k + 1, stride)), options), options)
+
+
+def short_seeds(data: str, options: Options) -> list[tuple[int, int, int, int, str]]:
+    """(off, len, count, est_lin, sub): a gram of min_len (8 at most) at every eighth of its steps, met again and extended; ranked."""
+    gram, back, subs = min(8, options.min_len), data[::-1], []
+    for at in range(0, len(data) - gram + 1, 8 * gram):
+        again = data.find(data[at : at + gram], at + 1)
+        if again >= 0:
+            off, length = extend_pair(data, at, again, gram, options.max_len, back)
+            subs.append(data[off : off + length])
+    return _ranked(data, subs, options)
+
+
+_REPEATS_GEAR = chunking.repeats_gear()
+
+
+def twin_chunks(data: bytes, options: Options, fixed: tuple[int, ...] = (4096, 1024)) -> list[tuple[int, int, int, int, bytes]]:
+    """(off, len, count, est_lin, sub): content-defined chunks, and whole chunks of the fixed sizes, that occur twice, extended; ranked."""
+    ends = chunking.cuts(data, table=_REPEATS_GEAR)
+    parts = [(data[a:b], a) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    subs = list(_grown(data, iter(parts), options))
+    for size in fixed:
+        subs += _grown(data, ((data[at : at + size], at) for at in range(0, len(data) - size + 1, size)), options)
+    return _ranked(data, subs, options)
+
+
+def twins(hays: DataFrame, options: Options = Options(), fixed: tuple[int, ...] = (4096, 1024)) -> DataFrame:  # noqa: B008
+    """(hay_id, off, len, n, est_lin, sub): the repeats that twin chunks of each haystack, a string or binary, grow to."""
+    return _by_text(hays, lambda texts: [twin_chunks(t, options, fixed) for t in texts])
 
 
 def _by_characters(hays: DataFrame, find) -> DataFrame:
@@ -376,24 +414,6 @@ def extended(hays: DataFrame, k: int = 16, stride: int = 16, options: Options =
     return _by_characters(hays, lambda text: harvest(text, k, stride, options))
 
 
-def short_seeds(data: str, options: Options) -> list[tuple[int, int, int, int, str]]:
-    """(off, len, count, est_lin, sub): a gram of min_len (8 at most) at every eighth of its steps, met again and extended; ranked."""
-    gram = min(8, options.min_len)
-    back, rows = data[::-1], {}
-    for at in range(0, len(data) - gram + 1, 8 * gram):
-        again = data.find(data[at : at + gram], at + 1)
-        if again < 0:
-            continue
-        off, length = extend_pair(data, at, again, gram, options.max_len, back)
-        sub = data[off : off + length]
-        if length >= options.min_len and sub not in rows:
-            marker = options.base or 4 + 2 * (length >= 10) + (length >= 100)
-            count = data.count(sub)
-            if count >= options.min_count:
-                rows[sub] = (data.find(sub), length, count, max(-(2**31 - 1), min(2**31 - 1, length + len(data) - count * (length - marker))), sub)
-    return sorted(rows.values(), key=lambda r: (r[3], -r[1], -r[2], r[4]))[: options.top_k]
-
-
 def seeded(hays: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
     """(hay_id, off, len, n, est_lin, sub): the repeats that short seeds find."""
     return _by_characters(hays, lambda text: short_seeds(text, options))

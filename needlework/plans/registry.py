@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from needlework.functions import search
 from needlework.functions import sql as sql_forms
 from needlework.operators import batch, chunking, listing, profile, repeats, store
+from needlework.operators.repeats import Options
 from needlework.plans import staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,6 +437,12 @@ def repeats_seeded(spark, sf_dir):
     return repeats.seeded(_hays(spark, sf_dir))
 
 
+@query()
+def repeats_twins(spark, sf_dir):
+    """Repeats that twin chunks of each document grow to, small fixed chunks among them; tested on planted passages."""
+    return repeats.twins(_hays(spark, sf_dir), Options(max_len=16_384), (4096, 1024, 256, 64))
+
+
 # chunks
 
 

@@ -110,6 +110,27 @@ def test_extension_equals_the_plain_rule(spark):
         assert sorted(map(tuple, got)) == sorted((i, *r) for i, t in enumerate(texts) for r in plain_extended(t, 0, 0, options, True))
 
 
+def test_twin_chunks(spark):
+    state, table = 0x9E3779B97F4A7C15, []
+    for i in range(256):
+        state ^= state >> 12
+        state ^= state << 25 & 2**64 - 1
+        state ^= state >> 27
+        state = state * 0x2545F4914F6CDD1D & 2**64 - 1
+        table.append((state + i * 0x9E3779B97F4A7C15) & 2**64 - 1)
+    assert [int(x) for x in chunking.repeats_gear()] == table
+    rnd = random.Random(2)
+    passage = bytes(rnd.randrange(256) for _ in range(20_000))
+    moved = bytes(rnd.randrange(256) for _ in range(777)) + passage + bytes(rnd.randrange(256) for _ in range(3001)) + passage
+    aligned = passage[:8192] + bytes(rnd.randrange(256) for _ in range(4096)) + passage[:8192]
+    options = Options(4, 30_000, 2, 4)
+    assert repeats.twin_chunks(moved, options)[0] == (777, 20_000, 2, 20_000 + len(moved) - 2 * (20_000 - 7), passage)  # cut where the contents say
+    assert repeats.twin_chunks(aligned, options)[0][:3] == (0, 8192, 2)
+    assert max(r[1] for r in repeats.twin_chunks(tiles(), Options(64, 8192, 2, 8))) >= 4096
+    rows = spark.createDataFrame([(1, bytearray(moved)), (2, bytearray(b"")), (3, None)], "hay_id long, text binary")
+    assert [(r["hay_id"], r["off"], r["len"]) for r in repeats.twins(rows, options).orderBy("est_lin").collect()][0] == (1, 777, 20_000)
+
+
 def test_suffixes_of_several_haystacks():
     rnd = random.Random(3)
     for _ in range(60):
