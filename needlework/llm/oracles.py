@@ -31,7 +31,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 _RULES = ", ".join(
     f"('{said}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for said, rule in url_filter.RULES
 )
-_LINK = url_filter.LINK.replace("'", "''")
+_LINK, _ANCHOR = (x.replace("'", "''") for x in (url_filter.LINK, url_filter.ANCHOR))
 
 OP7 = f"""
 WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -41,8 +41,8 @@ rules(said, rule, h, p) AS (VALUES {_RULES}),
 fit AS (SELECT r, arg_max(said, length(rule)) AS said, arg_max(rule, length(rule)) AS rule FROM l JOIN rules
         ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
 ruled AS (SELECT l.*, said, rule FROM l LEFT JOIN fit USING (r)),
-e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{_LINK}', 1)), '{url_filter.UPPER}', '{url_filter.LOWER}') AS dst FROM l)
-      WHERE src <> '' AND src <> dst GROUP BY ALL),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, translate(regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '{_ANCHOR}', 1)), '{_LINK}', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS dst FROM l)
+      WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 mass AS (SELECT host, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad FROM ruled WHERE said IS NOT NULL AND host <> '' GROUP BY host),
 start AS (SELECT host, {1 - url_filter.DAMPING} * good / (SELECT sum(good + bad) FROM mass) AS t, {1 - url_filter.DAMPING} * bad / (SELECT sum(good + bad) FROM mass) AS d FROM mass),
 moves AS (

@@ -32,7 +32,9 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
+#: An anchor's attributes, up to its end or the page's, and the host that a link among them names: each is one pass, however broken the page.
+ANCHOR = r"(?i)<a\s([^>]*)(?:>|\z)"
+LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]+)"
 DAMPING = 0.85
 STEPS = 128
 STAGE_EVERY = 8
@@ -61,9 +63,8 @@ def _fitting(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, counted."""
     host, _ = host_and_path(F.col("url"))
-    found = pages.select(
-        host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("to")
-    )
+    anchors = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(1))
+    found = pages.select(host.alias("src"), F.explode(F.transform(anchors, lambda a: F.regexp_extract(a, LINK, 1))).alias("to")).where("to <> ''")
     links = found.select("src", F.translate("to", UPPER, LOWER).alias("dst")).where("src <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 

@@ -230,6 +230,15 @@ def test_url_filter_equals_brute_force(spark, sf_dir):
     assert verdict[8] == "block" and verdict[9] == "allow"
 
 
+def test_url_filter_of_broken_pages(spark):
+    import time
+
+    rows = [(i, f"http://h{i}.net/", page) for i, page in enumerate(["<a " * 300_000, "<a href=" * 100_000, "<a href=//x.org " + "<a " * 200_000, "<a " + "href " * 200_000])]
+    began = time.perf_counter()
+    assert url_filter.host_edges(pages(spark, rows)).collect() == [("h2.net", "x.org", 1)]
+    assert time.perf_counter() - began < 60
+
+
 # Embeddings
 
 
@@ -477,6 +486,12 @@ def test_kth_largest(spark):
 # The pipeline
 
 
+def test_simhash_keep_of_many_copies(spark):
+    text = " ".join(f"word{i}" for i in range(300))
+    rows = [(7, text, "en", "s", 1, None, None)] * 20_000 + [(3, text + " tail", "en", "s", 1, None, None)] * 2 + [(9, "other words here now", "en", "s", 1, None, None)]
+    assert sorted(r["doc_id"] for r in simhash.keep(frame(spark, rows)).collect()) == [3, 9]
+
+
 def test_simhash_keep(spark):
     df = frame(spark)
     kept = simhash.keep(df).collect()
