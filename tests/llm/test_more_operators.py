@@ -316,6 +316,41 @@ def test_language_held_out(spark, sf_dir):
     assert right >= 0.98 * got.count() > 0
 
 
+def plain_counts(text):
+    raw, out = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode(), Counter()
+    for n in language.ORDERS:
+        for at in range(len(raw) - n + 1):
+            h = 0
+            for b in raw[at : at + n]:
+                h = (h * 0x01000193 + b) % 2**32
+            out[(h + n) * 0x9E3779B1 % 2**32 >> 21] += 1
+    return out
+
+
+def test_language_equals_the_plain_method(spark, monkeypatch):
+    """n-grams, document frequencies and the nearest centroid, in plain Python."""
+    import math
+
+    monkeypatch.setattr(language, "BLOCK", 50)  # texts go on over blocks
+    rng = np.random.default_rng(4)
+    voc = {"xx": ["der", "die", "das", "und", "ähre"], "yy": ["the", "and", "of", "word"], "zz": ["les", "été", "que", "une"]}
+    rows = [(i, " ".join(rng.choice(voc[k], int(rng.integers(1, 40)))) + rng.choice(["", " 12!", ".", "\n"]), k) for i, k in enumerate(rng.choice(list(voc), 90).tolist())]
+    each = [plain_counts(t) for _, t, _ in rows]
+    for (_, text, _), want in zip(rows, each, strict=True):
+        got = language.counts(text)
+        assert {k: int(got[k]) for k in np.flatnonzero(got)} == want
+    model = language.fit(frame(spark, [(i, t, k, None, None, None, None) for i, t, k in rows]))
+    found = Counter(p for c in each for p in c)
+    assert np.allclose(model.idf, [math.log((1 + len(rows)) / (1 + found[p])) + 1 for p in range(language.DIM)])
+    assert sorted(set(model.labels)) == sorted(voc) and len(model.labels) == 3 * language.CENTROIDS
+    for (_, text, k), c in zip(rows, each, strict=True):
+        v = {p: (1 + math.log(n)) * model.idf[p] for p, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(centre[p]) for p, x in v.items()) / norm for centre in model.centres]
+        lang, score, _ = model.predict(text)
+        assert lang == k and score == pytest.approx(max(cosines), abs=1e-4)
+
+
 def test_language_awkward(spark):
     rows = [(i, f"wort{'abc'[i % 3]} und der die das ist" if i % 2 else "the and word of it is", "de" if i % 2 else "en", None, None, None, None) for i in range(40)]
     rows += [(100, None, "en", None, None, None, None), (101, "12 !", None, None, None, None, None), (102, "", "en", None, None, None, None), (None, "the of and", None, None, None, None, None)]
