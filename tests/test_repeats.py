@@ -14,17 +14,15 @@ def frame(spark, texts):
 
 
 def tiles():
-    tile = bytes((i * 17 + 3) % 256 for i in range(4096))
-    data = bytearray((i * 31 + (i >> 8) * 29 + (i >> 12) * 7) % 251 for i in range(64 * 4096))
-    data[:4096] = tile
-    data[40 * 4096 : 41 * 4096] = tile
+    data = bytearray(random.Random(21).randbytes(64 * 4096))
+    data[40 * 4096 : 41 * 4096] = data[:4096]
     return bytes(data)
 
 
 CASES = [
-    (b"abcXYZabcXYZabc---hellohello---abcXYZ", Options(3, 16, 2, 8)),
-    (b"THE_QUICK_BROWN_FOX_" * 200, Options(8, 64, 2, 8)),
-    (b'<div class="row">item TOKEN</div>' * 64, Options(8, 4096, 2, 16)),
+    (b"pqrSTUpqrSTUpqr~~~tumtum~~~pqrSTU", Options(3, 16, 2, 8)),
+    (b"LINE_OF_A_PATTERN_" * 190, Options(8, 64, 2, 8)),
+    (b"<li id=7>entry VALUE</li>" * 70, Options(8, 4096, 2, 16)),
     (tiles()[:60_000] + tiles()[:5000], Options(64, 8192, 2, 8)),
 ]
 
