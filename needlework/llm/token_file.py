@@ -51,8 +51,8 @@ LINES = 2_000
 _LINED = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
 #: A shard is closed when it holds this many ids or documents; a longer document is a shard by itself.
 SHARD_TOKENS = 1 << 20
-#: Bytes of text that a part takes.
-PART_BYTES = 64 << 20
+#: Bytes of text that a part takes, until there are MOST_PARTS of them.
+PART_BYTES, MOST_PARTS = 24 << 20, 20_000
 SHARD_DOCS = 1 << 12
 BUCKET = 2
 TRIALS = 32
@@ -235,7 +235,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, vocabula
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     rows = only(docs, **{key: "long", "text": "string"})
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)) if size else 1
+    parts = max(spark.sparkContext.defaultParallelism, min(MOST_PARTS, -(-size // PART_BYTES))) if size else 1
     cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     cuts = [int(c) for c in cuts]
     end = int(end_id).to_bytes(width, "little")
