@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from needlework.plans.staging import drop, shared_dir, stage
 
-__all__ = ["BLANK", "WORD", "connected_components", "drop", "gc_paused", "numbered", "only", "row_hash", "shared_dir", "stage", "table"]
+__all__ = ["BLANK", "WORD", "connected_components", "drop", "free_shuffles", "gc_paused", "numbered", "only", "row_hash", "shared_dir", "stage", "table"]
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` leaves it out.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,12 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*values, *[v.isNull() for v in values])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove the shuffle files of plans that nothing refers to any more, before the next phase writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(classes: DataFrame, least: str, label: str) -> tuple[DataFrame, int]:
     """(``classes`` staged with ``node``, the largest id): a class goes by its least id, one with null ids alone by a number above all ids.
 

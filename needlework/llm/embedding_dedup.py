@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needlework.llm.common import connected_components, drop, numbered, stage
+from needlework.llm.common import connected_components, drop, free_shuffles, numbered, stage
 from needlework.llm.simhash import _forest
 
 COSINE = 0.95
-TREES = 8
+TREES = 4
 LEAF = 512
 SPILL = 0.02
 SAMPLE = 20_000
@@ -232,14 +232,6 @@ def _compared(dealt: DataFrame, large: DataFrame | None, forest: Forest) -> Data
     return stage(tasks.mapInArrow(_linker(forest), LINKS), "rp-links")
 
 
-def _free(spark) -> None:
-    """Lets Spark's cleaner remove the shuffle files of what is no longer referred to: those of one tree before the next."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _pairs_of(classes: DataFrame, n: int, kind: str) -> list[DataFrame]:
     """(node, links, a, b) of each tree, staged; the copies of one tree are on disk at a time."""
     depth = int(np.ceil(np.log2(n / LEAF)))
@@ -252,7 +244,7 @@ def _pairs_of(classes: DataFrame, n: int, kind: str) -> list[DataFrame]:
     for tree in range(forest.trees):
         dealt = classes.mapInArrow(_dealer(forest, tree), f"leaf long, node long, n long, v array<{kind}>")
         out.append(_compared(dealt, large if split else None, forest))
-        _free(classes.sparkSession)
+        free_shuffles(classes.sparkSession)  # those of one tree before the next
     return out
 
 

@@ -35,10 +35,11 @@ from collections.abc import Iterator, Set
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needlework.llm.common import connected_components, drop, only, stage
+from needlework.llm.common import connected_components, drop, free_shuffles, only, stage
 from needlework.llm.url_filter import host_and_path
 from needlework.operators.repeats import lcp_intervals, suffix_order
 from needlework.plans.layout import spread
@@ -406,7 +407,18 @@ def repeated_runs(group: list[list[tuple[int, str]]], all_pages: int) -> tuple[s
     return out[0], out[1]
 
 
-PARSED = "uid long, page_id long, url string, host string, content long, sketch array<int>, roles array<int>, texts array<string>"
+PARSED = "uid long, page_id long, url string, host string, content long, sketch array<int>, packed binary"
+
+
+def pack(found: list[tuple[int, str]]) -> bytes:
+    """A page's blocks, compressed: they are staged once and shuffled once."""
+    lines = "\n".join(f"{role}{text}" for role, text in found)  # a block has no line feed: its white space is single spaces
+    return zstandard.ZstdCompressor(level=3).compress(lines.encode("utf-8", "surrogatepass"))
+
+
+def unpack(packed: bytes) -> list[tuple[int, str]]:
+    lines = zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+    return [(int(line[0]), line[1:]) for line in lines.split("\n")] if lines else []
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -415,20 +427,19 @@ def parse(pages: DataFrame) -> DataFrame:
     rows = spread(only(pages, page_id="long", url="string", html="string")).select(
         F.xxhash64("page_id", "url", "html").alias("uid"), "page_id", "url", F.coalesce(host, F.lit("")).alias("host"), "html"
     )
-    kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, sketches, roles, texts = [], [], [], []
+            hashes, sketches, packed = [], [], []
             for html in batch.column("html"):
                 found = blocks(html.as_py())
                 hashed, lows = content(found) if found else (None, None)
                 hashes.append(hashed)
                 sketches.append(lows)
-                roles.append([r for r, _ in found])
-                texts.append([t for _, t in found])
-            columns = [pa.array(c, k) for c, k in zip((hashes, sketches, roles, texts), kinds, strict=True)]
-            yield pa.record_batch([*batch.columns[:4], *columns], names=["uid", "page_id", "url", "host", "content", "sketch", "roles", "texts"])
+                packed.append(pack(found))
+            columns = [pa.array(c, k) for c, k in zip((hashes, sketches, packed), kinds, strict=True)]
+            yield pa.record_batch([*batch.columns[:4], *columns], names=["uid", "page_id", "url", "host", "content", "sketch", "packed"])
 
     return stage(rows.mapInArrow(run, PARSED), "html-parsed")
 
@@ -450,21 +461,19 @@ def copies(indexed: DataFrame) -> DataFrame:
     if not links.isEmpty():
         joined = connected_components(links, "html-groups")
         same = same.union(joined.where("node <> component").select("node"))
-    return stage(same.distinct(), "html-copies")
-
-
-def _found(roles, texts) -> list[tuple[int, str]]:
-    return list(zip(roles, texts, strict=True))
+    out = stage(same.distinct(), "html-copies")
+    drop(firsts, pairs, links)
+    return out
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
     """(host, other, article): the runs of each host that go from other blocks and from articles.
 
-    ``pages`` (uid, host, roles, texts) has one page for each group of copies.
+    ``pages`` (uid, host, packed) has one page for each group of copies.
     """
     sizes = stage(pages.select("uid", "host").distinct().groupBy("host").agg(F.count("*").alias("pages")).where("pages > 1"), "html-sizes")
     part = F.pmod("uid", F.ceil(F.col("pages") / GROUP)).alias("part")
-    dealt = pages.join(sizes, "host").select("uid", "host", part, "pages", "roles", "texts").repartition("host", "part").sortWithinPartitions("host", "part")
+    dealt = pages.join(sizes, "host").select("uid", "host", part, "pages", "packed").repartition("host", "part").sortWithinPartitions("host", "part")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen, group, total = None, set(), [], 0
@@ -482,14 +491,14 @@ def boilerplate(pages: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["host", "run", "other", "article"])
 
         for batch in batches:
-            for uid, host, p, n, roles, texts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for uid, host, p, n, packed in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (host, p) != key:
                     if group:
                         yield runs()
                     key, seen, group, total = (host, p), set(), [], n
                 if uid not in seen:
                     seen.add(uid)
-                    group.append(_found(roles, texts))
+                    group.append(unpack(packed))
         if group:
             yield runs()
 
@@ -501,17 +510,17 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, own, run, held = [], [], [], (None, frozenset())
-            for u, h, texts, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            for u, h, packed, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if h != held[0]:
                     held = (h, frozenset(runs.as_py()))
-                met = {w for text in texts for w in windows(text)} & held[1]
+                met = {w for _, text in unpack(packed) for w in windows(text)} & held[1]
                 uid += [u] * len(met)
                 own += [h] * len(met)
                 run += met
             yield pa.record_batch([pa.array(uid, pa.int64()), pa.array(own, pa.string()), pa.array(run, pa.string())], names=["uid", "host", "run"])
 
     if not wide.isEmpty():
-        met = pages.join(wide, "host").select("uid", "host", "texts", "runs").mapInArrow(carried, "uid long, host string, run string")
+        met = pages.join(wide, "host").select("uid", "host", "packed", "runs").mapInArrow(carried, "uid long, host string, run string")
         counted = met.distinct().groupBy("host", "run").agg(F.count("*").alias("n")).join(sizes, "host")
         other, article = _enough(F.col("n"), F.col("pages"), OTHER_SHARE, OTHER_PAGES), _enough(F.col("n"), F.col("pages"), COMMON_SHARE, COMMON_PAGES)
         single = single.select("host", "run", "other", "article").union(counted.select("host", "run", other.alias("other"), article.alias("article")))
@@ -527,17 +536,18 @@ def extract(pages: DataFrame) -> DataFrame:
     indexed = parsed.where("content is not null")
     gone = copies(indexed.select("uid", "host", "content", "sketch"))
     # one page stands for its copies; repeated rows have one uid
-    common = boilerplate(indexed.select("uid", "host", "roles", "texts").join(gone, "uid", "left_anti"))
+    free_shuffles(pages.sparkSession)
+    common = boilerplate(indexed.select("uid", "host", "packed").join(gone, "uid", "left_anti"))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, out = (None, frozenset(), frozenset()), []
-            for host, roles, texts, other, article in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), batch.column(5), batch.column(6), strict=True):
+            for host, packed, other, article in zip(*(batch.column(i).to_pylist() for i in (2, 3)), batch.column(4), batch.column(5), strict=True):
                 if host != held[0]:
                     held = (host, windows_of(other.as_py() or ()), windows_of(article.as_py() or ()))
-                out.append(unique_text(_found(roles, texts), held[1], held[2]))
+                out.append(unique_text(unpack(packed), held[1], held[2]))
             columns = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.record_batch(columns, names=["page_id", "url", "text", "n_chars"])
 
-    met = parsed.select("page_id", "url", "host", "roles", "texts").join(common, "host", "left").select("page_id", "url", "host", "roles", "texts", "other", "article")
+    met = parsed.select("page_id", "url", "host", "packed").join(common, "host", "left").select("page_id", "url", "host", "packed", "other", "article")
     return met.mapInArrow(text, "page_id long, url string, text string, n_chars long")
