@@ -450,12 +450,13 @@ def copies(indexed: DataFrame) -> DataFrame:
     own = sketched.groupBy("host", "content").agg(F.min("uid").alias("first"))
     same = sketched.join(own, ["host", "content"]).where("uid <> first").select("uid")
     firsts = stage(sketched.join(own.select(F.col("first").alias("uid")), "uid").dropDuplicates(["uid"]), "html-firsts")
-    banded = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.slice("sketch", i * BAND + 1, BAND)) for i in range(SKETCH // BAND)]))
-    bands = firsts.select("uid", "host", banded.alias("place", "band"))
-    met = bands.groupBy("host", "place", "band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("host", "place", "band", "low")
-    pairs = stage(bands.join(met, ["host", "place", "band"]).where("uid <> low").select("uid", "low").distinct(), "html-pairs")
-    sketches = firsts.select(F.col("uid").alias("low"), F.col("sketch").alias("of_low"))
-    both = pairs.join(firsts.select("uid", "sketch"), "uid").join(sketches, "low")
+    # a band is one number with its host and place; where numbers meet by chance, the sketches or the hosts differ
+    banded = F.explode(F.array(*[F.xxhash64("host", F.lit(i), F.slice("sketch", i * BAND + 1, BAND)) for i in range(SKETCH // BAND)]))
+    bands = firsts.select("uid", banded.alias("band"))
+    met = bands.groupBy("band").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("band", "low")
+    pairs = stage(bands.join(met, "band").where("uid <> low").select("uid", "low").distinct(), "html-pairs")
+    sketches = firsts.select(F.col("uid").alias("low"), F.col("sketch").alias("of_low"), F.col("host").alias("host_of_low"))
+    both = pairs.join(firsts.select("uid", "host", "sketch"), "uid").join(sketches, "low").where("host = host_of_low")
     agree = F.size(F.filter(F.zip_with("sketch", "of_low", lambda x, y: x == y), lambda x: x))
     links = stage(both.where(agree >= AGREE).select(F.col("uid").alias("a"), F.col("low").alias("b")), "html-links")
     if not links.isEmpty():
