@@ -247,8 +247,9 @@ def block_entropy_label(spark, sf_dir):
     return profile.block_labels(_hays(spark, sf_dir, "pages", "page_id", "html"))
 
 
-_TRIGRAMS = """(SELECT hay_id, n, CAST(i // 8192 AS INTEGER) AS block, substr(h, 2 * i + 1, 6) AS gram FROM (
-  SELECT hay_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2 - 2)) AS i FROM (SELECT doc_id AS hay_id, hex(encode(text)) AS h FROM documents) WHERE length(h) >= 8192))"""
+_TRIGRAMS = """(SELECT * FROM (SELECT hay_id, n, CAST(i // 8192 AS INTEGER) AS block, b || lead(b) OVER w || lead(b, 2) OVER w AS gram FROM (
+  SELECT doc_id AS hay_id, strlen(text) AS n, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b, unnest(range(0, strlen(text))) AS i FROM documents WHERE strlen(text) >= 4096)
+  WINDOW w AS (PARTITION BY hay_id ORDER BY i)) WHERE gram IS NOT NULL)"""
 
 
 @query(f"""SELECT doc_id AS hay_id, CAST(strlen(text) AS BIGINT) AS n, CAST(coalesce(p.bytes, 0) AS BIGINT) AS bytes, CASE WHEN coalesce(e.entropy, 0) <= 3.5 THEN 'high' WHEN e.entropy <= 5.5 THEN 'mixed' ELSE 'low' END AS label,
@@ -270,7 +271,7 @@ def profile_block_grams(spark, sf_dir):
     return rows.select("hay_id", F.col("g.block").alias("block"), F.size("g.grams").cast("long").alias("grams")).where("grams > 0")
 
 
-_WANTED = [b"ablyt"[i : i + 3].hex().upper() for i in range(3)]
+_WANTED = [b"ation"[i : i + 3].hex().upper() for i in range(3)]
 
 
 @query(f"""SELECT hay_id, string_agg(CAST(block AS VARCHAR), ' ' ORDER BY block) AS blocks FROM (
@@ -279,7 +280,7 @@ _WANTED = [b"ablyt"[i : i + 3].hex().upper() for i in range(3)]
   GROUP BY ALL HAVING count(DISTINCT gram) = {len(_WANTED)} AND count(*) FILTER (g.block = b.block AND gram = '{_WANTED[0]}') > 0) GROUP BY hay_id, blocks HAVING count(*) <= blocks // 2 + 1""")
 def profile_candidates(spark, sf_dir):
     """Blocks in which a needle may begin, from kept profiles alone."""
-    found = profile.profiled_blocks(profile.build(_hays(spark, sf_dir), 2), "ablyt").where(F.size("blocks") > 0)
+    found = profile.profiled_blocks(profile.build(_hays(spark, sf_dir), 2), "ation").where(F.size("blocks") > 0)
     return found.select("hay_id", F.array_join(F.transform("blocks", lambda b: b.cast("string")), " ").alias("blocks"))
 
 
